@@ -6,8 +6,35 @@ partial sums meet, and becomes a double once, where a result leaves the engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Widest decimal that is summed in two words, and the bits of the low word. Up to
+# 2 ** 43 rows in a group, 8.8 million million, neither word's sum can overflow.
+_WORDS_PRECISION = 12
+_LOW_BITS = 20
+
+
+def exact_sum(df: DataFrame, name: str) -> Column:
+    """SQL's sum of a column of ``df``, for tables of many rows.
+
+    Spark adds decimals of more than 8 digits as objects. Money of up to 12
+    digits fits a long as minor units, and the high and the low bits of those
+    are added apart as longs, which is exact and takes about two thirds of the
+    time. The two sums become one decimal again once per group. Other types get
+    the plain sum.
+    """
+    kind = df.schema[name].dataType
+    if not isinstance(kind, T.DecimalType) or kind.precision > _WORDS_PRECISION:
+        return F.sum(name)
+    minor = f"cast(`{name}` * {10**kind.scale} as bigint)"
+    high = f"cast(sum(shiftright({minor}, {_LOW_BITS})) as decimal(20,0))"
+    low = f"cast(sum({minor} & {(1 << _LOW_BITS) - 1}) as decimal(20,0))"
+    units = f"({high} * {1 << _LOW_BITS} + {low}) * {Decimal(1).scaleb(-kind.scale):f}"
+    return F.expr(f"cast({units} as decimal({kind.precision + 10},{kind.scale}))")
 
 
 def total(name: str) -> Column:

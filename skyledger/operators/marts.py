@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.functions.measures import mean
+from skyledger.functions.measures import exact_sum, ratio
 from skyledger.schemas import ENDPOINT_ATTRIBUTES, MART_COLUMNS
 from skyledger.sources.marts import Marts
 from skyledger.sources.tables import RawTables
@@ -22,11 +22,12 @@ def revenue_by_route_class(tickets: DataFrame) -> DataFrame:
         tickets.groupBy("route_code", "class")
         .agg(
             F.count(F.lit(1)).alias("ticket_count"),
-            F.sum("total_amount").alias("revenue"),
-            mean(F.col("total_amount")).alias("avg_ticket_value"),
-            F.sum("airport_tax").alias("total_airport_tax"),
-            F.sum("local_tax").alias("total_local_tax"),
+            F.count("total_amount").alias("priced_count"),
+            exact_sum(tickets, "total_amount").alias("revenue"),
+            exact_sum(tickets, "airport_tax").alias("total_airport_tax"),
+            exact_sum(tickets, "local_tax").alias("total_local_tax"),
         )
+        .withColumn("avg_ticket_value", ratio(F.col("revenue"), F.col("priced_count")))
         .select(*MART_COLUMNS["revenue_by_route_class"])
     )
 
@@ -38,7 +39,7 @@ def monthly_revenue(tickets: DataFrame) -> DataFrame:
         )
         .agg(
             F.count(F.lit(1)).alias("ticket_count"),
-            F.sum("total_amount").alias("revenue"),
+            exact_sum(tickets, "total_amount").alias("revenue"),
         )
         .select(*MART_COLUMNS["monthly_revenue"])
         .orderBy("year", "month", "class")
@@ -54,12 +55,9 @@ def routes_with_airports(routes: DataFrame, airports: DataFrame) -> DataFrame:
     """
 
     def endpoint(prefix: str, code: str) -> DataFrame:
-        return airports.select(
-            F.col("iata_code").alias(code),
-            *[
-                F.col(name).alias(f"{prefix}_{suffix}")
-                for name, suffix in ENDPOINT_ATTRIBUTES.items()
-            ],
+        return airports.selectExpr(
+            f"iata_code AS {code}",
+            *[f"{name} AS {prefix}_{suffix}" for name, suffix in ENDPOINT_ATTRIBUTES.items()],
         )
 
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -13,9 +15,11 @@ SETTINGS = {
 }
 
 
-def build_session(app_name: str = "skyledger", **settings: str) -> SparkSession:
-    """Get or create a session; ``settings`` (Spark property names) add to the defaults."""
+def build_session(
+    app_name: str = "skyledger", settings: Mapping[str, str] | None = None
+) -> SparkSession:
+    """Get or create a session; ``settings`` (Spark properties) override the defaults."""
     builder = SparkSession.builder.appName(app_name)
-    for key, value in {**SETTINGS, **settings}.items():
+    for key, value in {**SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

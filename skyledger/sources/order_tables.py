@@ -7,7 +7,7 @@ so that the questions meet them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.sources.tables import RawTables
@@ -15,33 +15,47 @@ from skyledger.sources.tables import RawTables
 # Fixed value: the order tables have nation keys 0..24 at every scale factor.
 LAST_NATION_KEY = 24
 
+# The columns used. Naming them spares a job per table that would infer them.
+ORDER_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "lineitem": (
+        "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+        " l_extendedprice double, l_discount double, l_tax double,"
+        " l_returnflag string, l_shipdate timestamp_ntz"
+    ),
+}
 
-def _two_digits(key: Column) -> Column:
-    return F.lpad(key.cast("string"), 2, "0")
 
+def _two_digits(key: str) -> str:
+    return f"lpad(cast({key} as string), 2, '0')"
 
-def _airport_code(nation: Column) -> Column:
-    return F.concat(F.lit("N"), _two_digits(nation))
 
+def _airport_code(nation: str) -> str:
+    return f"concat('N', {_two_digits(nation)})"
 
-def _route_code(origin: Column, destination: Column) -> Column:
-    return F.concat(F.lit("R"), _two_digits(origin), _two_digits(destination))
+
+def _route_code(origin: str, destination: str) -> str:
+    return f"concat('R', {_two_digits(origin)}, {_two_digits(destination)})"
 
 
 def _airports(nation: DataFrame, region: DataFrame) -> DataFrame:
-    key, name = F.col("n_nationkey"), F.col("n_name")
     return (
-        nation.filter(key != 22)
+        nation.filter("n_nationkey <> 22")
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            _airport_code(key).alias("iata_code"),
-            F.concat(name, F.lit(" Intl")).alias("airport"),
-            F.when(key % 11 != 10, name).alias("city"),
-            name.alias("country"),
-            F.when(key != 24, F.col("r_name")).alias("continent"),
-            F.when(key != 23, key * 5 - 60).cast("decimal(9,6)").alias("latitude"),
-            (key * 14 - 170).cast("decimal(9,6)").alias("longitude"),
-            (key + 5).cast("decimal(6,2)").alias("airport_tax"),
+        .selectExpr(
+            f"{_airport_code('n_nationkey')} AS iata_code",
+            "concat(n_name, ' Intl') AS airport",
+            "CASE WHEN n_nationkey % 11 <> 10 THEN n_name END AS city",
+            "n_name AS country",
+            "CASE WHEN n_nationkey <> 24 THEN r_name END AS continent",
+            "cast(CASE WHEN n_nationkey <> 23 THEN n_nationkey * 5 - 60 END AS decimal(9,6))"
+            " AS latitude",
+            "cast(n_nationkey * 14 - 170 AS decimal(9,6)) AS longitude",
+            "cast(n_nationkey + 5 AS decimal(6,2)) AS airport_tax",
         )
     )
 
@@ -52,27 +66,21 @@ def _routes(nation: DataFrame) -> DataFrame:
     Each origin fans out over the fixed range of nation keys, and an equi-join
     keeps the destinations that exist.
     """
-    o, d = F.col("o"), F.col("d")
-    keys = F.sequence(F.lit(0), F.lit(LAST_NATION_KEY))
-    distance = (
-        F.when((o + d) % 23 == 0, None)
-        .when((o * d) % 29 == 1, 0)
-        .otherwise(F.abs(o - d) * 375 + o * 7 + d * 3)
+    origins = nation.selectExpr(
+        "n_nationkey AS o", f"explode(sequence(0, {LAST_NATION_KEY})) AS d"
     )
     return (
-        nation.select(F.col("n_nationkey").alias("o"), F.explode(keys).alias("d"))
-        .filter(o != d)
-        .join(nation.select(F.col("n_nationkey").alias("d")), "d")
-        .select(
-            _route_code(o, d).alias("route_code"),
-            _airport_code(o).alias("origin"),
-            _airport_code(d).alias("destination"),
-            distance.cast("decimal(8,1)").alias("distance"),
-            (F.abs(o - d) * 25 + 30).alias("flight_minutes"),
-            F.when(d % 5 == 0, F.concat(F.lit("R"), _two_digits(o), F.lit("00"))).alias(
-                "parent_route"
-            ),
-            (d % 2 + 1).alias("leg_number"),
+        origins.filter("o <> d")
+        .join(nation.selectExpr("n_nationkey AS d"), "d")
+        .selectExpr(
+            f"{_route_code('o', 'd')} AS route_code",
+            f"{_airport_code('o')} AS origin",
+            f"{_airport_code('d')} AS destination",
+            "cast(CASE WHEN (o + d) % 23 = 0 THEN NULL WHEN (o * d) % 29 = 1 THEN 0"
+            " ELSE abs(o - d) * 375 + o * 7 + d * 3 END AS decimal(8,1)) AS distance",
+            "abs(o - d) * 25 + 30 AS flight_minutes",
+            f"CASE WHEN d % 5 = 0 THEN concat('R', {_two_digits('o')}, '00') END AS parent_route",
+            "d % 2 + 1 AS leg_number",
         )
     )
 
@@ -86,37 +94,33 @@ def _tickets(
     cross the network once per key (order, supplier) and never by customer. The
     ticket columns are computed below the joins; only they are shuffled.
     """
-    number, flag = F.col("l_linenumber"), F.col("l_returnflag")
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
+    price = "cast(l_extendedprice AS decimal(12,2))"
 
-    def share_of_price(rate: str) -> Column:
-        return (price * F.col(rate).cast("decimal(4,2)")).cast("decimal(12,2)")
+    def share_of_price(rate: str) -> str:
+        return f"cast({price} * cast({rate} AS decimal(4,2)) AS decimal(12,2))"
 
-    lines = lineitem.select(
+    lines = lineitem.selectExpr(
         "l_orderkey",
         "l_suppkey",
-        F.when((number == 7) & (flag == "R"), "X")
-        .when((number == 7) & (flag == "N"), None)
-        .when(flag == "A", "E")
-        .when(flag == "N", "P")
-        .otherwise("B")
-        .alias("class"),
-        F.when((F.col("l_quantity") == 50) & (number == 1), None)
-        .otherwise(price)
-        .alias("total_amount"),
-        share_of_price("l_tax").alias("airport_tax"),
-        share_of_price("l_discount").alias("local_tax"),
-        F.col("l_shipdate").alias("departure"),
+        "CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN 'X'"
+        " WHEN l_linenumber = 7 AND l_returnflag = 'N' THEN NULL"
+        " WHEN l_returnflag = 'A' THEN 'E'"
+        " WHEN l_returnflag = 'N' THEN 'P'"
+        " ELSE 'B' END AS class",
+        f"CASE WHEN l_quantity = 50 AND l_linenumber = 1 THEN NULL ELSE {price} END"
+        " AS total_amount",
+        f"{share_of_price('l_tax')} AS airport_tax",
+        f"{share_of_price('l_discount')} AS local_tax",
+        "l_shipdate AS departure",
     )
     buyers = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", "c_nationkey"
     )
-    sellers = supplier.select("s_suppkey", "s_nationkey")
     return (
-        lines.join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+        lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(
-            _route_code(F.col("s_nationkey"), F.col("c_nationkey")).alias("route_code"),
+        .selectExpr(
+            f"{_route_code('s_nationkey', 'c_nationkey')} AS route_code",
             "class",
             "total_amount",
             "airport_tax",
@@ -127,12 +131,12 @@ def _tickets(
 
 
 def tables_from_orders(spark: SparkSession, folder: str) -> RawTables:
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
-
-    nation = read("nation")
+    read = {
+        name: spark.read.schema(columns).parquet(f"{folder}/{name}.parquet")
+        for name, columns in ORDER_TABLES.items()
+    }
     return RawTables(
-        tickets=_tickets(read("lineitem"), read("orders"), read("customer"), read("supplier")),
-        routes=_routes(nation),
-        airports=_airports(nation, read("region")),
+        tickets=_tickets(read["lineitem"], read["orders"], read["customer"], read["supplier"]),
+        routes=_routes(read["nation"]),
+        airports=_airports(read["nation"], read["region"]),
     )
