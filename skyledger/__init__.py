@@ -4,9 +4,9 @@ from skyledger.filters import FilterSpec
 from skyledger.operators import *  # noqa: F403
 from skyledger.operators import __all__ as _questions
 from skyledger.plans import (
+    builders_in_database,
     export_csv,
     export_report,
-    marts_in_database,
     refresh_marts,
     run_report,
 )
@@ -30,10 +30,10 @@ __all__ = [
     "RawTables",
     "ReadSplit",
     "build_session",
+    "builders_in_database",
     "export_csv",
     "export_report",
     "load_tables",
-    "marts_in_database",
     "read_marts",
     "refresh_marts",
     "run_report",

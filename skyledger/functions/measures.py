@@ -33,8 +33,10 @@ def exact_sum(df: DataFrame, name: str) -> Column:
     minor = f"cast(`{name}` * {10**kind.scale} as bigint)"
     high = f"cast(sum(shiftright({minor}, {_LOW_BITS})) as decimal(20,0))"
     low = f"cast(sum({minor} & {(1 << _LOW_BITS) - 1}) as decimal(20,0))"
-    units = f"({high} * {1 << _LOW_BITS} + {low}) * {Decimal(1).scaleb(-kind.scale):f}"
-    return F.expr(f"cast({units} as decimal({kind.precision + 10},{kind.scale}))")
+    digits = kind.precision + 10
+    units = f"cast({high} * {1 << _LOW_BITS} + {low} as decimal({digits},0))"
+    unit = f"{Decimal(1).scaleb(-kind.scale):f}"
+    return F.expr(f"cast({units} * {unit} as decimal({digits},{kind.scale}))")
 
 
 def total(name: str) -> Column:

@@ -5,6 +5,7 @@ from skyledger.operators.classes import class_revenue, class_revenue_share
 from skyledger.operators.geography import airport_revenue, continent_revenue, regional_revenue
 from skyledger.operators.marts import (
     build_marts,
+    mart_builders,
     monthly_revenue,
     revenue_by_route_class,
     routes_with_airports,
@@ -24,6 +25,7 @@ __all__ = [
     "kpi_totals",
     "list_continents",
     "list_years",
+    "mart_builders",
     "monthly_by_class",
     "monthly_revenue",
     "monthly_trend",

@@ -8,6 +8,8 @@ Sums keep SQL's null for a group without a value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +69,14 @@ def routes_with_airports(routes: DataFrame, airports: DataFrame) -> DataFrame:
     )
 
 
+def mart_builders(tables: RawTables) -> dict[str, Callable[[], DataFrame]]:
+    """Mart name -> function that plans it, in the order of a refresh."""
+    return {
+        "routes_with_airports": lambda: routes_with_airports(tables.routes, tables.airports),
+        "revenue_by_route_class": lambda: revenue_by_route_class(tables.tickets),
+        "monthly_revenue": lambda: monthly_revenue(tables.tickets),
+    }
+
+
 def build_marts(tables: RawTables) -> Marts:
-    return Marts(
-        routes_with_airports=routes_with_airports(tables.routes, tables.airports),
-        revenue_by_route_class=revenue_by_route_class(tables.tickets),
-        monthly_revenue=monthly_revenue(tables.tickets),
-    )
+    return Marts(**{name: build() for name, build in mart_builders(tables).items()})

@@ -2,15 +2,15 @@
 
 from skyledger.plans.export import export_csv, export_report
 from skyledger.plans.materialise import materialise
-from skyledger.plans.pushdown import marts_in_database
+from skyledger.plans.pushdown import builders_in_database
 from skyledger.plans.refresh import DuplicateRouteError, refresh_marts
 from skyledger.plans.report import run_report
 
 __all__ = [
     "DuplicateRouteError",
+    "builders_in_database",
     "export_csv",
     "export_report",
-    "marts_in_database",
     "materialise",
     "refresh_marts",
     "run_report",

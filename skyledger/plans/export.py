@@ -24,9 +24,9 @@ def plain_number(column: Column) -> Column:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header in the folder ``path``; nulls are empty fields.
+    """CSV with a header in the folder ``path``; nulls are empty fields.
 
-    Meant for answers, which are small: all rows go through one task.
+    A quote inside text is doubled and blanks around it are kept.
     """
     columns = [
         plain_number(F.col(f.name)).alias(f.name)
@@ -36,19 +36,25 @@ def export_csv(df: DataFrame, path: str) -> None:
     ]
     (
         df.select(*columns)
-        .coalesce(1)
         .write.mode("overwrite")
         .option("header", True)
         .option("emptyValue", "")
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
 
 def export_report(answers: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
-    """The downloadable answers under ``folder``; returns where each one went."""
+    """The downloadable answers, one file each, under ``folder``; returns the paths.
+
+    One task writes each: the answers have a row per ranked route, calendar
+    month, airport or pair of continents.
+    """
     written = {}
     for answer, file_name in EXPORTS.items():
         path = f"{folder}/{file_name}"
-        export_csv(answers[answer], path)
+        export_csv(answers[answer].coalesce(1), path)
         written[answer] = path
     return written

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions.measures import ratio
 from skyledger.operators.marts import routes_with_airports
 from skyledger.schemas import MART_COLUMNS, RAW_TABLES
 from skyledger.sources.jdbc import JdbcSource
-from skyledger.sources.marts import Marts
 from skyledger.sources.tables import conform
 
 
@@ -21,13 +20,10 @@ def _grouped(source: JdbcSource, keys: Mapping[str, str], measures: Mapping[str,
     return f"SELECT {columns} FROM {source.name_of('tickets')} GROUP BY {', '.join(keys.values())}"
 
 
-def marts_in_database(spark: SparkSession, source: JdbcSource) -> Marts:
-    """Marts whose two fact aggregations run inside the database.
-
-    Only groups cross the network. The average is left to Spark as sum over
-    count, because databases round an average of decimals each in their own way.
-    """
-    route_class = source.query(
+def _route_class(spark: SparkSession, source: JdbcSource) -> DataFrame:
+    """The average is left to Spark as sum over count: databases round an
+    average of decimals each in their own way."""
+    grouped = source.query(
         spark,
         _grouped(
             source,
@@ -41,7 +37,14 @@ def marts_in_database(spark: SparkSession, source: JdbcSource) -> Marts:
             },
         ),
     )
-    monthly = source.query(
+    average = ratio(F.col("revenue"), F.col("priced_count"))
+    return grouped.withColumns(
+        {"ticket_count": F.col("ticket_count").cast("bigint"), "avg_ticket_value": average}
+    ).select(*MART_COLUMNS["revenue_by_route_class"])
+
+
+def _monthly(spark: SparkSession, source: JdbcSource) -> DataFrame:
+    grouped = source.query(
         spark,
         _grouped(
             source,
@@ -53,24 +56,30 @@ def marts_in_database(spark: SparkSession, source: JdbcSource) -> Marts:
             {"ticket_count": "COUNT(*)", "revenue": "SUM(total_amount)"},
         ),
     )
-    count = F.col("ticket_count").cast("bigint")
-    dimensions = {
-        name: conform(source.table(spark, name), RAW_TABLES[name])
-        for name in ("routes", "airports")
-    }
-    return Marts(
-        routes_with_airports=routes_with_airports(**dimensions),
-        revenue_by_route_class=route_class.withColumns(
-            {
-                "ticket_count": count,
-                "avg_ticket_value": ratio(F.col("revenue"), F.col("priced_count")),
-            }
-        ).select(*MART_COLUMNS["revenue_by_route_class"]),
-        monthly_revenue=monthly.withColumns(
-            {
-                "year": F.col("year").cast("int"),
-                "month": F.col("month").cast("int"),
-                "ticket_count": count,
-            }
-        ),
+    return grouped.withColumns(
+        {
+            "year": F.col("year").cast("int"),
+            "month": F.col("month").cast("int"),
+            "ticket_count": F.col("ticket_count").cast("bigint"),
+        }
+    ).orderBy("year", "month", "class")
+
+
+def _network(spark: SparkSession, source: JdbcSource) -> DataFrame:
+    return routes_with_airports(
+        *[conform(source.table(spark, name), RAW_TABLES[name]) for name in ("routes", "airports")]
     )
+
+
+def builders_in_database(
+    spark: SparkSession, source: JdbcSource
+) -> dict[str, Callable[[], DataFrame]]:
+    """Mart name -> function that plans it, with the fact grouped by the database.
+
+    Only groups and the two dimensions cross the network.
+    """
+    return {
+        "routes_with_airports": lambda: _network(spark, source),
+        "revenue_by_route_class": lambda: _route_class(spark, source),
+        "monthly_revenue": lambda: _monthly(spark, source),
+    }

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.operators.marts import build_marts
-from skyledger.schemas import MART_COLUMNS
-from skyledger.sources.marts import Marts, mart_path
+from skyledger.operators.marts import mart_builders
+from skyledger.sources.marts import mart_path
 from skyledger.sources.tables import RawTables
 
 
@@ -41,23 +40,23 @@ def _write(spark: SparkSession, df: DataFrame, path: str) -> int:
 
 def refresh_marts(
     spark: SparkSession,
-    source: RawTables | Callable[[], Marts],
+    source: RawTables | Mapping[str, Callable[[], DataFrame]],
     folder: str,
 ) -> DataFrame:
-    """Write every mart under ``folder``; one status row per mart.
+    """Build and write every mart under ``folder``; one status row per mart.
 
     A mart that fails is reported and skipped, the others are still written.
-    ``source`` is the raw tables, or a function that returns marts to write, such
-    as ``lambda: marts_in_database(spark, source)``.
+    ``source`` is the raw tables, or a function per mart such as those of
+    ``builders_in_database``.
     """
-    marts = source() if callable(source) else build_marts(source)
+    builders = mart_builders(source) if isinstance(source, RawTables) else source
     status = []
-    for name in MART_COLUMNS:
-        frame = getattr(marts, name)
+    for name, build in builders.items():
         try:
+            mart = build()
             if name == "routes_with_airports":
-                check_unique_routes(frame)
-            rows = _write(spark, frame, mart_path(folder, name))
+                check_unique_routes(mart)
+            rows = _write(spark, mart, mart_path(folder, name))
             status.append((name, rows, "written", None))
         except Exception as error:  # any failure is one mart's, not the refresh's
             status.append((name, None, "failed", f"{type(error).__name__}: {error}"))

@@ -1,0 +1,119 @@
+from __future__ import annotations
+
+import sys
+from datetime import datetime
+from decimal import Decimal
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+import skyledger as sl
+from skyledger.schemas import AIRPORTS, ROUTES, TICKETS
+
+SMALL = "/root/testdata/sf0.001"
+MEDIUM = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = sl.build_session(
+        "tests",
+        {
+            "spark.master": "local[8]",
+            "spark.sql.shuffle.partitions": "8",
+            "spark.driver.memory": "4g",
+            "spark.ui.enabled": "false",
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
+        },
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+def money(amount):
+    return None if amount is None else Decimal(str(amount)).quantize(Decimal("0.01"))
+
+
+@pytest.fixture(scope="session")
+def star(spark):
+    """Builds raw tables from short rows.
+
+    ticket: (route_code, class, amount[, departure]); route: (route_code, origin,
+    destination, distance); airport: (code, city, continent[, lat, lon]).
+    """
+
+    def build(tickets=(), routes=(), airports=()) -> sl.RawTables:
+        def ticket(route, cabin, amount, departure=datetime(2020, 1, 15)):
+            return route, cabin, money(amount), money(1), money(2), departure
+
+        def route(code, origin, destination, distance=1000):
+            km = None if distance is None else Decimal(str(distance))
+            return code, origin, destination, km, 90, None, 1
+
+        def airport(code, city, continent, lat=10, lon=20):
+            degrees = [None if x is None else Decimal(x) for x in (lat, lon)]
+            return code, f"{code} Intl", city, f"{code}-land", continent, *degrees, Decimal(5)
+
+        return sl.RawTables(
+            tickets=spark.createDataFrame([ticket(*t) for t in tickets], TICKETS),
+            routes=spark.createDataFrame([route(*r) for r in routes], ROUTES),
+            airports=spark.createDataFrame([airport(*a) for a in airports], AIRPORTS),
+        )
+
+    return build
+
+
+# Two known continents, an airport without continent (CCC), one without city (DDD).
+AIRPORT_ROWS = [
+    ("AAA", "Aville", "ASIA"),
+    ("BBB", "Bville", "EUROPE"),
+    ("CCC", "Cville", None),
+    ("DDD", None, "ASIA"),
+]
+ROUTE_ROWS = [
+    ("AB", "AAA", "BBB", 1000),
+    ("BA", "BBB", "AAA", 2000),
+    ("AC", "AAA", "CCC", 0),
+    ("CA", "CCC", "AAA", 500),
+    ("DB", "DDD", "BBB", None),
+    ("BD", "BBB", "DDD", 100),
+]
+
+
+@pytest.fixture(scope="session")
+def edge(star):
+    def build(tickets, routes=ROUTE_ROWS, airports=AIRPORT_ROWS) -> sl.Marts:
+        return sl.build_marts(star(tickets, routes, airports))
+
+    return build
+
+
+@pytest.fixture(scope="session")
+def written(spark, tmp_path_factory) -> str:
+    """Folder with the marts of the medium tables."""
+    folder = str(tmp_path_factory.mktemp("marts"))
+    status = sl.refresh_marts(spark, sl.tables_from_orders(spark, MEDIUM), folder)
+    assert {row.status for row in status.collect()} == {"written"}
+    return folder
+
+
+@pytest.fixture(scope="session")
+def marts(spark, written) -> sl.Marts:
+    return sl.read_marts(spark, written)
+
+
+def rows(df) -> list[tuple]:
+    return [tuple(row) for row in df.collect()]
+
+
+def dicts(df) -> list[dict]:
+    return [row.asDict() for row in df.collect()]
+
+
+def plan_text(df) -> str:
+    """Physical plan; the executed one once the frame has been collected."""
+    return df._jdf.queryExecution().executedPlan().toString()

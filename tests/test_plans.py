@@ -1,0 +1,168 @@
+"""What Spark makes of the questions, and that skew changes no result."""
+
+from __future__ import annotations
+
+from contextlib import contextmanager
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as spark_entry
+import skyledger as sl
+from tests.conftest import MEDIUM, SMALL, plan_text, rows
+
+ALL = sl.FilterSpec()
+
+QUESTIONS = [
+    sl.top_routes,
+    sl.class_revenue,
+    sl.class_revenue_share,
+    sl.monthly_trend,
+    sl.monthly_by_class,
+    sl.continent_revenue,
+    sl.route_efficiency,
+    sl.airport_revenue,
+    sl.kpi_totals,
+    sl.regional_revenue,
+]
+
+
+@contextmanager
+def conf(spark, **settings):
+    names = {key.replace("__", "."): value for key, value in settings.items()}
+    before = {key: spark.conf.get(key, None) for key in names}
+    for key, value in names.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("name", list(spark_entry.queries()))
+def test_no_cross_join_and_no_python_in_any_registered_plan(spark, name):
+    plan = plan_text(spark_entry.queries()[name](spark, SMALL))
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas", "ArrowEval"):
+        assert node not in plan
+
+
+@pytest.mark.parametrize("question", [sl.top_routes, sl.route_efficiency])
+def test_ranked_questions_keep_n_rows_per_task(marts, question):
+    plan = plan_text(question(marts, ALL))
+    assert "TakeOrderedAndProject(limit=15" in plan
+
+
+@pytest.mark.parametrize("question", QUESTIONS)
+def test_class_filter_reaches_the_scan_of_a_written_mart(marts, question):
+    plan = plan_text(question(marts, sl.FilterSpec(classes=("E", "B"))))
+    assert "PushedFilters: [In(class, [B,E])" in plan or "In(class, [E,B])" in plan
+
+
+def test_only_the_columns_of_a_question_are_read(marts):
+    plan = plan_text(sl.kpi_totals(marts, ALL))
+    assert "ReadSchema: struct<route_code:string,class:string,ticket_count:bigint,revenue" in plan
+    assert "ReadSchema: struct<route_code:string,origin_continent:string>" in plan
+    assert "total_airport_tax" not in plan
+
+
+def test_continent_filter_reaches_the_scan(marts):
+    plan = plan_text(sl.top_routes(marts, sl.FilterSpec(continents=("ASIA",))))
+    assert "EqualTo(origin_continent,ASIA)" in plan or "In(origin_continent, [ASIA])" in plan
+
+
+def test_fact_is_read_once_per_answer_and_narrowly(spark):
+    tables = sl.tables_from_orders(spark, SMALL)
+    marts = sl.build_marts(tables)
+    for question in QUESTIONS:
+        plan = plan_text(question(marts, ALL))
+        scans = [line for line in plan.splitlines() if "FileScan" in line and "l_orderkey" in line]
+        assert len(scans) == 1, question.__name__
+        assert "l_tax" not in scans[0] and "l_discount" not in scans[0]
+    stats = plan_text(sl.source_stats(marts))
+    assert sum("FileScan" in line and "l_orderkey" in line for line in stats.splitlines()) == 1
+
+
+def test_fact_is_reduced_before_its_only_shuffle(spark, star, tmp_path):
+    """On a plain fact: scan, partial aggregate, one exchange, final aggregate."""
+    star([("AB", "E", 1)]).tickets.write.parquet(str(tmp_path / "tickets.parquet"))
+    tickets = spark.read.parquet(str(tmp_path / "tickets.parquet"))
+    plan = plan_text(sl.revenue_by_route_class(tickets))
+    assert plan.count("Exchange") == 1
+    assert "partial_sum" in plan.split("Exchange")[1]
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
+def test_sums_stay_in_long_arithmetic(spark, star):
+    plan = plan_text(sl.revenue_by_route_class(star([("AB", "E", 1)]).tickets))
+    assert "shiftright" in plan
+
+
+@pytest.mark.parametrize("question", QUESTIONS)
+def test_results_do_not_depend_on_the_join_strategy(spark, marts, question):
+    expected = rows(question(marts, ALL))
+    with conf(
+        spark,
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+    ):
+        df = question(marts, ALL)
+        assert rows(df) == expected
+        assert "BroadcastHashJoin" not in plan_text(df)
+
+
+def hot_orders(spark, folder: str, target: str) -> None:
+    """The medium tables with a third of the lines on one order, supplier and customer."""
+    hot_line = F.col("l_orderkey") % 3 == 0
+    lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
+    order = lineitem.filter(~hot_line).agg(F.min("l_orderkey")).first()[0]
+    lineitem.withColumns(
+        {
+            "l_orderkey": F.when(hot_line, order).otherwise(F.col("l_orderkey")),
+            "l_suppkey": F.when(hot_line, 1).otherwise(F.col("l_suppkey")),
+        }
+    ).repartition(8).write.parquet(f"{target}/lineitem.parquet")
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    orders.withColumn(
+        "o_custkey", F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(F.col("o_custkey"))
+    ).repartition(8).write.parquet(f"{target}/orders.parquet")
+    for name in ("region", "nation", "customer", "supplier"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{target}/{name}.parquet")
+
+
+def test_hot_keys_are_split_and_change_nothing(spark, tmp_path):
+    hot_orders(spark, MEDIUM, str(tmp_path))
+
+    def mart():
+        return sl.revenue_by_route_class(sl.tables_from_orders(spark, str(tmp_path)).tickets)
+
+    expected = sorted(map(str, rows(mart())))
+    with conf(
+        spark,
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20KB",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20KB",
+    ):
+        df = mart()
+        assert sorted(map(str, rows(df))) == expected
+        assert "SortMergeJoin(skew=true)" in plan_text(df)
+    assert sum(r.ticket_count for r in mart().collect()) == 60_000
+
+
+def test_one_route_with_a_third_of_all_tickets(spark, star, tmp_path):
+    """The fact shuffle carries groups, not rows, so a hot route weighs as any other."""
+    tickets = spark.range(30_000).selectExpr(
+        "if(id % 3 = 0, 'HOT', concat('R', id % 50)) AS route_code",
+        "'E' AS class",
+        "cast(1.01 AS decimal(12,2)) AS total_amount",
+        "cast(0 AS decimal(12,2)) AS airport_tax",
+        "cast(0 AS decimal(12,2)) AS local_tax",
+        "timestamp_ntz'2020-01-01' AS departure",
+    )
+    tickets.repartition(6).write.parquet(str(tmp_path / "tickets.parquet"))
+    df = sl.revenue_by_route_class(spark.read.parquet(str(tmp_path / "tickets.parquet")))
+    hot = {r.route_code: r for r in df.collect()}["HOT"]
+    assert (hot.ticket_count, str(hot.revenue)) == (10_000, "10100.00")
+    assert "partial_sum" in plan_text(df).split("Exchange")[1]
