@@ -17,8 +17,9 @@ from skyledger.sources.marts import Marts
 def run_report(marts: Marts, spec: FilterSpec) -> Iterator[dict[str, DataFrame]]:
     """Every answer under one filter set, by name.
 
-    The route rollup and the regional revenue feed several answers and are kept
-    until the block ends; use the answers inside it.
+    ``marts`` are written or persisted ones, as most of them are read more than
+    once. The route rollup and the regional revenue feed several answers and are
+    kept until the block ends; use the answers inside it.
     """
     rollup = ops.route_rollup(marts, spec.classes).persist(StorageLevel.MEMORY_AND_DISK)
     regions = ops.regional_revenue(marts, spec, rollup).persist(StorageLevel.MEMORY_AND_DISK)

@@ -7,11 +7,16 @@ from collections.abc import Mapping
 from pyspark.sql import SparkSession
 
 SETTINGS = {
+    # Year and month of a zoned timestamp depend on the session's zone.
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
+    # Joins are planned without hints: sizes seen at run time decide what is
+    # broadcast, and partitions of a hot key are split.
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.ansi.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Hash instead of sort where every build partition turned out this small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }
 
 
