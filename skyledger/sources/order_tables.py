@@ -38,10 +38,6 @@ def _airport_code(nation: str) -> str:
     return f"concat('N', {_two_digits(nation)})"
 
 
-def _route_code(origin: str, destination: str) -> str:
-    return f"concat('R', {_two_digits(origin)}, {_two_digits(destination)})"
-
-
 def _airports(nation: DataFrame, region: DataFrame) -> DataFrame:
     return (
         nation.filter("n_nationkey <> 22")
@@ -73,7 +69,7 @@ def _routes(nation: DataFrame) -> DataFrame:
         origins.filter("o <> d")
         .join(nation.selectExpr("n_nationkey AS d"), "d")
         .selectExpr(
-            f"{_route_code('o', 'd')} AS route_code",
+            f"concat('R', {_two_digits('o')}, {_two_digits('d')}) AS route_code",
             f"{_airport_code('o')} AS origin",
             f"{_airport_code('d')} AS destination",
             "cast(CASE WHEN (o + d) % 23 = 0 THEN NULL WHEN (o * d) % 29 = 1 THEN 0"
@@ -92,7 +88,8 @@ def _tickets(
 
     The buyer side is joined first, on two narrow tables, so that the line items
     cross the network once per key (order, supplier) and never by customer. The
-    ticket columns are computed below the joins; only they are shuffled.
+    ticket columns are computed below the joins, so that only they are shuffled,
+    and the halves of a route code on the small sides, once per party.
     """
     price = "cast(l_extendedprice AS decimal(12,2))"
 
@@ -113,14 +110,16 @@ def _tickets(
         f"{share_of_price('l_discount')} AS local_tax",
         "l_shipdate AS departure",
     )
-    buyers = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", "c_nationkey"
+    sellers = supplier.selectExpr("s_suppkey", f"{_two_digits('s_nationkey')} AS seller")
+    homes = customer.selectExpr("c_custkey", f"{_two_digits('c_nationkey')} AS buyer")
+    buyers = orders.join(homes, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", "buyer"
     )
     return (
-        lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        lines.join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
         .selectExpr(
-            f"{_route_code('s_nationkey', 'c_nationkey')} AS route_code",
+            "concat('R', seller, buyer) AS route_code",
             "class",
             "total_amount",
             "airport_tax",
