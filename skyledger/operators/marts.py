@@ -79,4 +79,4 @@ def mart_builders(tables: RawTables) -> dict[str, Callable[[], DataFrame]]:
 
 
 def build_marts(tables: RawTables) -> Marts:
-    return Marts(**{name: build() for name, build in mart_builders(tables).items()})
+    return Marts(mart_builders(tables))

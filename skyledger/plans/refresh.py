@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.operators.marts import mart_builders
+from skyledger.plans.materialise import materialise
 from skyledger.sources.marts import mart_path
 from skyledger.sources.tables import RawTables
 
@@ -32,9 +33,9 @@ def check_unique_routes(routes: DataFrame) -> None:
         raise DuplicateRouteError(f"route_code is not unique, for example {examples}")
 
 
-def _write(spark: SparkSession, df: DataFrame, path: str) -> int:
-    """Write, then count what was written; the count reads file footers only."""
-    df.write.mode("overwrite").parquet(path)
+def _write(spark: SparkSession, mart: DataFrame, path: str) -> int:
+    """Replace the mart at ``path``, then count what was written by file footers."""
+    mart.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).count()
 
 
@@ -45,7 +46,9 @@ def refresh_marts(
 ) -> DataFrame:
     """Build and write every mart under ``folder``; one status row per mart.
 
-    A mart that fails is reported and skipped, the others are still written.
+    A mart that fails is reported and skipped, the others are still written. Each
+    is computed into the checkpoint folder first, so that one that fails while
+    reading the fact leaves the mart written before in place.
     ``source`` is the raw tables, or a function per mart such as those of
     ``builders_in_database``.
     """
@@ -53,7 +56,7 @@ def refresh_marts(
     status = []
     for name, build in builders.items():
         try:
-            mart = build()
+            mart = materialise(build())
             if name == "routes_with_airports":
                 check_unique_routes(mart)
             rows = _write(spark, mart, mart_path(folder, name))

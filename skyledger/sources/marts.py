@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from functools import cached_property, partial
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -16,18 +17,26 @@ class MartsMissingError(FileNotFoundError):
     """A mart has not been written yet."""
 
 
-@dataclass(frozen=True)
 class Marts:
-    routes_with_airports: DataFrame
-    revenue_by_route_class: DataFrame
-    monthly_revenue: DataFrame
+    """The three marts, each planned when it is first asked for."""
 
-    def _frames(self) -> tuple[DataFrame, ...]:
-        return (
-            self.routes_with_airports,
-            self.revenue_by_route_class,
-            self.monthly_revenue,
-        )
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]) -> None:
+        self._builders = dict(builders)
+
+    @cached_property
+    def routes_with_airports(self) -> DataFrame:
+        return self._builders["routes_with_airports"]()
+
+    @cached_property
+    def revenue_by_route_class(self) -> DataFrame:
+        return self._builders["revenue_by_route_class"]()
+
+    @cached_property
+    def monthly_revenue(self) -> DataFrame:
+        return self._builders["monthly_revenue"]()
+
+    def _frames(self) -> list[DataFrame]:
+        return [getattr(self, name) for name in MART_COLUMNS]
 
     def persist(self) -> Marts:
         """Keep the marts for reuse; blocks that do not fit in memory go to disk."""
@@ -46,7 +55,10 @@ def mart_path(folder: str, name: str) -> str:
 
 
 def read_marts(spark: SparkSession, folder: str) -> Marts:
-    """Marts written by ``refresh_marts``, or one Parquet file per mart."""
+    """Marts written by ``refresh_marts``, or one Parquet file per mart.
+
+    A missing mart is reported here, not when a question first needs it.
+    """
 
     def read(name: str) -> DataFrame:
         path = mart_path(folder, name)
@@ -60,4 +72,6 @@ def read_marts(spark: SparkSession, folder: str) -> Marts:
             ) from error
         return normalise_columns(found).select(*MART_COLUMNS[name])
 
-    return Marts(**{name: read(name) for name in MART_COLUMNS})
+    marts = Marts({name: partial(read, name) for name in MART_COLUMNS})
+    marts._frames()
+    return marts

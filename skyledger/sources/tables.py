@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,19 @@ class RawTables:
     routes: DataFrame
     airports: DataFrame
 
+    def of_year(self, year: int) -> RawTables:
+        """The same tables with the tickets of one year only.
+
+        For monthly questions put to the tickets themselves. The range reaches
+        the scan, where Parquet skips row groups by it; ``year(departure) = y``
+        alone would read them all.
+        """
+        departure = F.col("departure")
+        start, end = (
+            F.lit(f"{y:04d}-01-01 00:00:00").cast("timestamp_ntz") for y in (year, year + 1)
+        )
+        return replace(self, tickets=self.tickets.filter((departure >= start) & (departure < end)))
+
 
 def normalise_columns(df: DataFrame) -> DataFrame:
     """Strip and lower-case the column names; values stay as they are."""

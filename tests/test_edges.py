@@ -195,6 +195,18 @@ def test_year_filter_is_an_equality_and_all_means_none(edge):
     assert sl.monthly_by_class(marts, ALL).count() == 2
 
 
+def test_tickets_of_a_year_are_whole(star):
+    moments = [
+        datetime(2019, 12, 31, 23, 59, 59, 999999),
+        datetime(2020, 1, 1),
+        datetime(2020, 12, 31, 23, 59, 59, 999999),
+        datetime(2021, 1, 1),
+        None,
+    ]
+    kept = star([("AB", "E", 1, m) for m in moments]).of_year(2020).tickets
+    assert sorted(r.departure for r in kept.collect()) == moments[1:3]
+
+
 def test_continent_and_year_filters_stay_where_they_belong(edge):
     marts = edge([("AB", "E", 1, datetime(2019, 1, 1)), ("BA", "E", 2, datetime(2020, 1, 1))])
     narrow = sl.FilterSpec(continents=("ASIA",), year=2019)

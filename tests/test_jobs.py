@@ -73,6 +73,20 @@ def test_failing_builder_is_one_status_row(spark, star, tmp_path):
         sl.read_marts(spark, str(tmp_path))
 
 
+def test_failure_while_computing_keeps_the_mart_written_before(spark, star, tmp_path):
+    tables = star([("AB", "E", 1)], ROUTE_ROWS, AIRPORT_ROWS)
+    sl.refresh_marts(spark, tables, str(tmp_path)).collect()
+    broken = tables.tickets.withColumn("class", F.raise_error(F.lit("bad block")).cast("string"))
+    builders = {
+        **sl.mart_builders(tables),
+        "monthly_revenue": lambda: sl.monthly_revenue(broken),
+    }
+    status = dicts(sl.refresh_marts(spark, builders, str(tmp_path)))
+    assert [r["status"] for r in status] == ["written", "written", "failed"]
+    assert "bad block" in status[2]["error"]
+    assert sl.list_years(sl.read_marts(spark, str(tmp_path))).count() == 1
+
+
 def test_report_gives_the_single_answers(marts):
     spec = sl.FilterSpec(classes=("E", "B"), continents=("ASIA", "EUROPE"), top_n=5)
     with sl.run_report(marts, spec) as answers:

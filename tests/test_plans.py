@@ -83,6 +83,17 @@ def test_fact_is_read_once_per_answer_and_narrowly(spark):
     assert sum("FileScan" in line and "l_orderkey" in line for line in stats.splitlines()) == 1
 
 
+def test_year_range_reaches_the_scan(spark):
+    tables = sl.tables_from_orders(spark, SMALL)
+    spec = sl.FilterSpec(year=1998)
+    df = sl.monthly_trend(sl.build_marts(tables.of_year(1998)), spec)
+    with conf(spark, spark__sql__maxMetadataStringLength="2000"):
+        scan = [x for x in plan_text(df).splitlines() if "FileScan" in x and "l_orderkey" in x]
+    assert "GreaterThanOrEqual(l_shipdate,1998-01-01T00:00)" in scan[0]
+    assert "LessThan(l_shipdate,1999-01-01T00:00)" in scan[0]
+    assert rows(df) == rows(sl.monthly_trend(sl.build_marts(tables), spec))
+
+
 def test_fact_is_reduced_before_its_only_shuffle(spark, star, tmp_path):
     """On a plain fact: scan, partial aggregate, one exchange, final aggregate."""
     star([("AB", "E", 1)]).tickets.write.parquet(str(tmp_path / "tickets.parquet"))
