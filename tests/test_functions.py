@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
@@ -112,6 +113,19 @@ def test_exact_sum_is_the_plain_sum(spark, pairs):
         assert row.words == row.plain
 
 
+@pytest.mark.parametrize("scale", [0, 1, 2, 6, 12])
+def test_every_digit_survives_the_way_through_a_double(spark, scale):
+    """One row per group: the sum is the value, at the ends and at random places."""
+    pick = random.Random(scale)
+    units = [0, 1, -1, 10**12 - 1, 1 - 10**12, (1 << 20) - 1, 1 << 20, -(1 << 20)]
+    units += [pick.randrange(1 - 10**12, 10**12) for _ in range(20_000)]
+    values = [Decimal(u).scaleb(-scale) for u in units]
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.DecimalType(12, scale))])
+    frame = spark.createDataFrame(list(enumerate(values)), schema)
+    wrong = frame.groupBy("k").agg(F.sum("v").alias("plain"), exact_sum(frame, "v").alias("words"))
+    assert wrong.filter("plain <> words").count() == 0
+
+
 @pytest.mark.parametrize("scale", [0, 3, 12])
 def test_exact_sum_at_other_scales(spark, scale):
     kind = T.DecimalType(12, scale)
