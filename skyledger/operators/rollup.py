@@ -12,6 +12,20 @@ from skyledger.functions.measures import total
 from skyledger.sources.marts import Marts
 
 
+# What the questions use of a route, beside its code.
+ROUTE_ATTRIBUTES = [
+    "distance",
+    "origin",
+    "origin_airport",
+    "origin_city",
+    "origin_continent",
+    "origin_lat",
+    "origin_lon",
+    "dest_city",
+    "dest_continent",
+]
+
+
 def route_rollup(marts: Marts, classes: Iterable[str]) -> DataFrame:
     """Tickets and revenue of each route over ``classes``, with the route's ends.
 
@@ -19,11 +33,12 @@ def route_rollup(marts: Marts, classes: Iterable[str]) -> DataFrame:
     dimension, and both sides are then unique on the join key. A route code
     without known airports stays, with null attributes.
     """
+    network = marts.routes_with_airports.select("route_code", *ROUTE_ATTRIBUTES)
     return (
         marts.revenue_by_route_class.filter(F.col("class").isin(list(classes)))
         .groupBy("route_code")
         .agg(total("ticket_count"), total("revenue"))
-        .join(marts.routes_with_airports, "route_code", "left")
+        .join(network, "route_code", "left")
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import skyledger as sl
 from skyledger.plans import materialise
 from skyledger.plans.export import export_csv
+from skyledger.plans.materialise import _ensure_checkpoint_dir
 from tests.conftest import AIRPORT_ROWS, ROUTE_ROWS, dicts, rows
 
 ALL = sl.FilterSpec()
@@ -163,6 +164,35 @@ def test_materialise_reads_back_from_the_shared_folder(spark):
     assert configured in spark.sparkContext.getCheckpointDir()
 
 
+class SessionWithoutFolder:
+    """A session that names no checkpoint folder, on a cluster or not."""
+
+    def __init__(self, master, configured=None):
+        self.master, self.configured, self.chosen = master, configured, None
+        self.sparkContext = self.conf = self
+
+    def getCheckpointDir(self):
+        return self.chosen
+
+    def setCheckpointDir(self, folder):
+        self.chosen = folder
+
+    def get(self, key, default):
+        assert key == "spark.checkpoint.dir"
+        return self.configured or default
+
+
+def test_checkpoint_folder_is_the_clusters():
+    named = SessionWithoutFolder("spark://host:7077", "s3a://shared/checkpoints")
+    _ensure_checkpoint_dir(named)
+    assert named.chosen == "s3a://shared/checkpoints"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _ensure_checkpoint_dir(SessionWithoutFolder("spark://host:7077"))
+    local = SessionWithoutFolder("local[2]")
+    _ensure_checkpoint_dir(local)
+    assert local.chosen
+
+
 def test_reading_a_broken_mart_is_not_called_missing(spark, tmp_path):
     for name in ("routes_with_airports", "revenue_by_route_class", "monthly_revenue"):
         spark.range(1).write.parquet(f"{tmp_path}/{name}.parquet")
