@@ -159,6 +159,21 @@ regions AS (
   FROM sold GROUP BY origin_continent, dest_continent
 )"""
 
+
+def _regional_revenue(continents: str) -> str:
+    return _with_marts(
+        _sold(ALL, continents)
+        + f",{_REGIONS}"
+        + """
+SELECT origin_continent, dest_continent,
+       origin_continent || ' → ' || coalesce(dest_continent, 'Unknown') AS region_pair,
+       CAST(ticket_count AS BIGINT) AS ticket_count, CAST(revenue AS DOUBLE) AS revenue,
+       route_count, avg_distance, CAST(revenue AS DOUBLE) / ticket_count AS avg_ticket_value,
+       CAST(revenue AS DOUBLE) / nullif(CAST(sum(revenue) OVER () AS DOUBLE), 0) AS revenue_share
+FROM regions ORDER BY regions.revenue DESC, origin_continent, dest_continent"""
+    )
+
+
 _CELLS = """
 cells AS (
   SELECT o.origin_continent, d.dest_continent,
@@ -207,6 +222,15 @@ SELECT route_code, origin, destination, parent_route, leg_number,
        CAST(dest_lat AS DOUBLE) AS dest_lat, CAST(dest_lon AS DOUBLE) AS dest_lon,
        CAST(dest_tax AS DOUBLE) AS dest_tax
 FROM network"""
+    ),
+    "mart_refresh": _with_marts(
+        """
+SELECT 'routes_with_airports' AS mart, count(*) AS rows, 'written' AS status,
+       CAST(NULL AS VARCHAR) AS error FROM network
+UNION ALL
+SELECT 'revenue_by_route_class', count(*), 'written', NULL FROM route_class
+UNION ALL
+SELECT 'monthly_revenue', count(*), 'written', NULL FROM monthly"""
     ),
     "top_routes": _top_routes(ALL, "origin_continent IS NOT NULL", 15),
     "top_routes_filtered": _top_routes("'E', 'B'", "origin_continent IN ('ASIA', 'EUROPE')", 5),
@@ -249,17 +273,8 @@ ORDER BY revenue DESC, origin"""
     ),
     "kpi_totals": _kpi_totals(ALL),
     "kpi_totals_no_match": _kpi_totals(ALL, "origin_continent IN ('ATLANTIS')"),
-    "regional_revenue": _with_marts(
-        _sold(ALL, "origin_continent IN ('AFRICA', 'ASIA', 'EUROPE')")
-        + f",{_REGIONS}"
-        + """
-SELECT origin_continent, dest_continent,
-       origin_continent || ' → ' || coalesce(dest_continent, 'Unknown') AS region_pair,
-       CAST(ticket_count AS BIGINT) AS ticket_count, CAST(revenue AS DOUBLE) AS revenue,
-       route_count, avg_distance, CAST(revenue AS DOUBLE) / ticket_count AS avg_ticket_value,
-       CAST(revenue AS DOUBLE) / nullif(CAST(sum(revenue) OVER () AS DOUBLE), 0) AS revenue_share
-FROM regions ORDER BY regions.revenue DESC, origin_continent, dest_continent"""
-    ),
+    "regional_revenue": _regional_revenue("origin_continent IN ('AFRICA', 'ASIA', 'EUROPE')"),
+    "regional_revenue_from_marts": _regional_revenue("origin_continent IS NOT NULL"),
     "region_matrix_long": _matrix(
         """
 SELECT origin_continent, dest_continent, revenue,
@@ -289,4 +304,5 @@ SELECT (SELECT count(DISTINCT route_code) FROM network) AS routes,
        (SELECT min(year) FROM monthly) AS year_min,
        (SELECT max(year) FROM monthly) AS year_max"""
     ),
+    "csv_export": _monthly_trend(f"class IN ({ALL})"),
 }

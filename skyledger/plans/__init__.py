@@ -1,7 +1,7 @@
 """Whole jobs: refreshing the marts, answering a report, exporting it."""
 
 from skyledger.plans.export import export_csv, export_report
-from skyledger.plans.materialise import materialise
+from skyledger.plans.materialise import materialise, scratch_folder
 from skyledger.plans.pushdown import builders_in_database
 from skyledger.plans.refresh import DuplicateRouteError, refresh_marts
 from skyledger.plans.report import run_report
@@ -14,4 +14,5 @@ __all__ = [
     "materialise",
     "refresh_marts",
     "run_report",
+    "scratch_folder",
 ]
