@@ -10,6 +10,8 @@ SETTINGS = {
     # Year and month of a zoned timestamp depend on the session's zone.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # Files of a checkpoint go when nothing refers to it any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Fewer, larger tasks on a large fact; small inputs are split by core count.
     "spark.sql.files.maxPartitionBytes": "512m",
     # Joins are planned without hints: sizes seen at run time decide what is
