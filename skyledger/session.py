@@ -19,6 +19,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128m",
     # Hash instead of sort where every build partition turned out this small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }
