@@ -43,13 +43,13 @@ def ordered(found):
 
 
 def test_every_query_has_an_oracle():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(spark_entry.revenue_queries()) == set(spark_entry.ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", list(spark_entry.queries()))
+@pytest.mark.parametrize("name", list(spark_entry.revenue_queries()))
 def test_query_matches_oracle(spark, folder, oracle, name):
-    df = spark_entry.queries()[name](spark, folder)
-    expected = oracle.execute(spark_entry.oracle_sql()[name])
+    df = spark_entry.revenue_queries()[name](spark, folder)
+    expected = oracle.execute(spark_entry.ORACLE_SQL[name])
     types = {column: SPARK_TYPE[str(kind)] for column, kind, *_ in expected.description}
     assert types == dict(df.dtypes)
     columns = sorted(types)
