@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import sharding
+from skyledger.llm import quality_rules, secrets, sharding
+from skyledger.plans import scratch_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = secrets.Ledger(spark, scratch_folder(spark, "ledger")).scan(docs, path="doc_id")
+    return secrets.digest(found).withColumnRenamed("path", "doc_id")
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     sizes = sharding.document_sizes(table(spark, folder, "documents"))
     return sharding.assign_shards(sizes, 24).select(
@@ -23,3 +30,7 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents"))

@@ -1,0 +1,86 @@
+from __future__ import annotations
+
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from skyledger.llm import queries, quality_rules
+from tests.conftest import SMALL
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def counts(text: str) -> tuple:
+    words = WORD.findall(text or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
+    return len(words), sum(map(len, words)), symbols, dup, len(covered), failed
+
+
+def depleted(docs, limits) -> set:
+    """(host, text) of documents that lose too many words."""
+    texts, lines = defaultdict(set), defaultdict(set)
+
+    def normal(text):
+        return [x for x in (" ".join(WORD.findall(line.lower())) for line in text.split("\n")) if x]
+
+    for _, text, host in docs:
+        texts[host].add(text or "")
+        for line in normal(text or ""):
+            lines[host, line].add(text)
+    out = set()
+    for host, group in texts.items():
+        most = max(limits.documents, limits.percent_of_host * len(group) / 100)
+        for text in group:
+            size = [(len(line.split(" ")), len(lines[host, line]) > most) for line in normal(text)]
+            if 100 * sum(n for n, gone in size if gone) > limits.depleted_percent * sum(n for n, _ in size):
+                out.add((host, text))
+    return out
+
+
+def test_counts_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source").collect()
+    rows = {r.doc_id: r for r in queries.op10_quality_rules(spark, SMALL).collect()}
+    bad = depleted(docs, quality_rules.LineLimits())
+    assert len(rows) == len(docs)
+    for doc_id, text, source in docs:
+        r = rows[doc_id]
+        found = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+        assert found == counts(text)
+        assert r.kept == (not r.base_failed and (source, text or "") not in bad)
+
+
+@pytest.mark.parametrize("documents, percent", [(2, 1), (1, 40)])
+def test_common_lines_deplete_documents(spark, documents, percent):
+    own = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(12)]
+    docs = [(i, f"Home  | About\n{own[i]}", "x") for i in range(6)]
+    docs += [(10 + i, "Home | about\n" * 40 + own[i], "x") for i in range(3)]
+    docs += [(20 + i, "Home | About\n" * 40 + own[6], "y") for i in range(9)]  # one text, many copies
+    docs += [(30 + i, "Home | About\n" * 40 + own[7 + i], None) for i in range(4)]
+    limits = quality_rules.LineLimits(documents, percent)
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    rows = quality_rules.judge(df, limits=limits).collect()
+    bad = depleted(docs, limits)
+    assert {r.doc_id for r in rows if r.depleted} == {i for i, text, host in docs if (host, text) in bad}
+    assert any(r.depleted for r in rows) and not any(r.depleted for r in rows if r.doc_id < 10)
+    assert not any(r.depleted for r in rows if 20 <= r.doc_id < 30)
+
+
+def test_odd_rows(odd, empty):
+    rows = quality_rules.judge(odd).collect()
+    wanted = sorted(map(str, ((r.doc_id, *counts(r.text)) for r in odd.collect())))
+    found = [
+        (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+        for r in rows
+    ]
+    assert sorted(map(str, found)) == wanted
+    assert quality_rules.judge(empty).count() == 0

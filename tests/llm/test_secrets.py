@@ -1,0 +1,77 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+from skyledger.llm import queries, secrets
+from tests.conftest import MEDIUM
+
+BASE = {
+    "assign": (
+        r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]"""
+        r"""|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        lambda m: len(m[2]) >= 6,
+    ),
+    "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+    "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+}
+
+
+def base_spans(text: str) -> list[str]:
+    found = [
+        (m.start(), place, f"{kind}:{m.start()}:{m.end()}")
+        for place, (kind, (pattern, good)) in enumerate(BASE.items())
+        for m in re.finditer(pattern, text or "")
+        if good(m)
+    ]
+    return [x for *_, x in sorted(found)]
+
+
+def matches(rows, texts):
+    for r in rows:
+        wanted = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(wanted).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [
+            sum(x.startswith(k) for x in wanted) for k in ("assign", "access", "hex")
+        ]
+        assert set(wanted) <= set(r.spans.split(",")) | {""}
+
+
+def test_base_spans_against_brute_force(spark):
+    rows = queries.op3_secret_scans(spark, MEDIUM).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    assert any(r.spans for r in rows)
+    matches(rows, texts)
+
+
+def test_short_values_use_up_their_match():
+    found = secrets.spans_of("secret=token:abcdefgh AKIA123 ſecret=abcdefgh", secrets.BASE_RULES)
+    assert found == []
+
+
+def test_odd_rows(spark, odd, empty, tmp_path):
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    rows = ledger.scan(odd, path="doc_id").collect()
+    assert sorted(str(r.path) for r in rows) == sorted(str(r.doc_id) for r in odd.collect())
+    assert {len(r.spans) for r in rows if r.path == 11} == {3}
+    assert secrets.Ledger(spark, str(tmp_path / "other")).scan(empty, path="doc_id").count() == 0
+
+
+def test_ledger_scans_only_unseen_blobs_and_rule_versions(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    first = [("a", "token=abcdef"), ("b", "token=abcdef"), ("c", "none")]
+    later = [*first, ("d", "password: hunter22"), (None, "token=abcdef")]
+    schema = "path string, text string"
+    one = secrets.Ledger(spark, folder)
+    one.scan(spark.createDataFrame(first, schema))
+    assert one.rows().count() == 2
+    rows = one.scan(spark.createDataFrame(later, schema)).collect()
+    assert one.rows().count() == 3
+    assert {str(r.path): len(r.spans) for r in rows} == {"a": 1, "b": 1, "c": 0, "d": 1, "None": 1}
+    newer = {**secrets.RULES, "hex": secrets.Rule(r"[0-9a-f]{4,}", version=2)}
+    two = secrets.Ledger(spark, folder, newer)
+    two.scan(spark.createDataFrame(later, schema))
+    added = two.rows().filter("array_contains(rules, 'hex:2')").collect()
+    assert len(added) == 3 and all(r.rules == ["hex:2"] for r in added)
+    assert two.rows().count() == 6
