@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import quality_rules, secrets, sharding
+from skyledger.llm import bpe, quality_rules, secrets, sharding
 from skyledger.plans import scratch_folder
 
 
@@ -19,6 +20,22 @@ def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(found).withColumnRenamed("path", "doc_id")
 
 
+def multi_language_bpe() -> bpe.Vocabulary:
+    return bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, multi_language_bpe()), multi_language_bpe())
+    decimal = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     sizes = sharding.document_sizes(table(spark, folder, "documents"))
     return sharding.assign_shards(sizes, 24).select(
