@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, quality_rules, secrets, sharding
+from skyledger.llm import bpe, packing, quality_rules, secrets, sharding
 from skyledger.plans import scratch_folder
 
 
@@ -14,14 +14,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def multi_language_bpe() -> bpe.Vocabulary:
+    return bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = secrets.Ledger(spark, scratch_folder(spark, "ledger")).scan(docs, path="doc_id")
     return secrets.digest(found).withColumnRenamed("path", "doc_id")
 
 
-def multi_language_bpe() -> bpe.Vocabulary:
-    return bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return packing.pack(docs, multi_language_bpe(), length=2048, end_id=50256)
 
 
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:

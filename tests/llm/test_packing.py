@@ -1,0 +1,71 @@
+from __future__ import annotations
+
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from skyledger.llm import bpe, packing, queries
+from tests.conftest import SMALL
+
+
+@given(st.lists(st.integers(1, 30), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_best_fit_decreasing_against_brute_force(sizes):
+    free, wanted = [], []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        fits = [r for r in range(len(free)) if free[r] >= sizes[i]]
+        if fits:
+            least = min(free[r] for r in fits)
+        else:
+            free.append(30)
+            wanted.append([])
+            least = 30
+        row = max((r for r in range(len(free)) if free[r] == least), key=lambda r: r)
+        free[row] -= sizes[i]
+        wanted[row].append(sizes[i])
+    found = [[sizes[i] for i in row] for row in packing.best_fit_decreasing(sizes, 30)]
+    # Which of equally full rows is taken is open: the sums are the same.
+    assert sorted(map(sum, found)) == sorted(map(sum, wanted))
+    assert sorted(x for row in found for x in row) == sorted(sizes)
+
+
+def documents_of(packs):
+    """Brute force: ids of each document from the packed rows."""
+    parts = defaultdict(dict)
+    for r in packs:
+        ids, positions = np.frombuffer(r.ids, r.dtype), np.frombuffer(r.positions, "<u2")
+        assert r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens <= len(ids)
+        for doc, offset, a, b in zip(r.doc_ids, r.offsets, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            assert positions[a:b].tolist() == list(range(b - a))
+            assert offset not in parts[doc]
+            parts[doc][offset] = ids[a:b].tolist()
+    return {doc: [i for k in sorted(own) for i in own[k]] for doc, own in parts.items()}
+
+
+def test_round_trip(spark):
+    vocabulary = queries.multi_language_bpe()
+    packs = queries.op6_packing(spark, SMALL)
+    rows = packs.collect()
+    wanted = {
+        r.doc_id: [*r.ids, 50256]
+        for r in bpe.encode(spark.read.parquet(f"{SMALL}/documents.parquet"), vocabulary).collect()
+    }
+    assert documents_of(rows) == wanted
+    assert len({r.pack_id for r in rows}) == len(rows)
+    assert sum(r.n_tokens for r in rows) > 0.95 * 2048 * (len(rows) - 8)
+    cut = defaultdict(dict)
+    for s in packing.segments(packs).collect():
+        cut[s.doc_id][s.offset] = np.frombuffer(s.ids, s.dtype).tolist()
+    assert {d: [i for k in sorted(own) for i in own[k]] for d, own in cut.items()} == wanted
+
+
+def test_odd_rows(odd, empty):
+    vocabulary = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rows = packing.pack(odd, vocabulary, 64, 50256).collect()
+    assert sum(len(r.doc_ids) for r in rows) >= odd.count()
+    ends = sum(np.frombuffer(r.ids, r.dtype)[: r.n_tokens].tolist().count(50256) for r in rows)
+    assert ends == odd.count()
+    assert packing.pack(empty, vocabulary, 64, 50256).count() == 0
