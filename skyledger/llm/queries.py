@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, packing, quality_rules, secrets, sharding
+from skyledger.llm import bpe, near_dedup, packing, quality_rules, secrets, sharding
 from skyledger.plans import scratch_folder
 
 
@@ -54,5 +54,9 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
