@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, near_dedup, packing, quality_rules, secrets, sharding
+from skyledger.llm import bpe, decontaminate, near_dedup, packing, quality_rules, secrets, sharding
 from skyledger.plans import scratch_folder
 
 
@@ -24,6 +24,11 @@ def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(found).withColumnRenamed("path", "doc_id")
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.leaks(docs, benchmark)
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return packing.pack(docs, multi_language_bpe(), length=2048, end_id=50256)
