@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, decontaminate, near_dedup, packing, quality_rules, secrets, sharding
+from skyledger.llm import bpe, decontaminate, hmm, near_dedup, packing, quality_rules, secrets, sharding
 from skyledger.plans import scratch_folder
 
 
@@ -18,6 +18,17 @@ def multi_language_bpe() -> bpe.Vocabulary:
     return bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def id_remainder(divisor: int) -> Column:
+    """crc32 of the id as text, modulo ``divisor``; a null id is an empty text."""
+    text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.crc32(text.cast("binary")) % divisor
+
+
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return hmm.train_and_score(docs, held_out=id_remainder(7) == 2)
+
+
 def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = secrets.Ledger(spark, scratch_folder(spark, "ledger")).scan(docs, path="doc_id")
