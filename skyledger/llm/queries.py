@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, decontaminate, hmm, near_dedup, packing, quality_rules, secrets, sharding
+from skyledger.llm import (
+    bpe,
+    decontaminate,
+    hmm,
+    language_id,
+    near_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    sharding,
+)
 from skyledger.plans import scratch_folder
 
 
@@ -24,6 +35,17 @@ def id_remainder(divisor: int) -> Column:
     return F.crc32(text.cast("binary")) % divisor
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").filter(id_remainder(5) != 0)
+    scored = quality_classifier.score(table(spark, folder, "documents"), labels)
+    return scored.select(
+        "doc_id",
+        (id_remainder(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return hmm.train_and_score(docs, held_out=id_remainder(7) == 2)
@@ -40,6 +62,17 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(docs, benchmark)
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
+    found = language_id.identify(
+        language_id.of_documents(docs).unionByName(language_id.of_pages(pages)),
+        language_id.train(docs),
+    )
+    return found.select(
+        "doc_id", "page_id", "language", "posterior", "text_language", "n_grams", "accepted"
+    )
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return packing.pack(docs, multi_language_bpe(), length=2048, end_id=50256)

@@ -1,0 +1,125 @@
+from __future__ import annotations
+
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from skyledger.llm import language_id as li
+from skyledger.llm import queries
+from skyledger.llm.words import mixed, texts_of
+from tests.conftest import MEDIUM, SMALL
+
+
+def brute_grams(text: str) -> list[int]:
+    letters = "".join(
+        chr(b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalpha() else " "
+        for b in (text or "").encode()
+    )
+    squeezed = []
+    for i, c in enumerate(letters):
+        if c != " " or i + 1 < len(letters) and letters[i + 1] != " ":
+            squeezed.append(ord(c))
+    keys = [int.from_bytes(bytes(squeezed[i : i + 4])) for i in range(len(squeezed) - 3)]
+    return (mixed(np.array(keys, np.uint64)) % np.uint64(li.BUCKETS)).tolist()
+
+
+def test_grams_against_brute_force():
+    texts = ["The  cat, sat\non 12 mats!", "", " x ", "Ünïcödé wörds", "abcd", "!!! abc"]
+    key, text = li.grams(texts_of(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert key[text == i].tolist() == brute_grams(t)
+
+
+def test_fusion_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    model = li.train(docs)
+    counts = defaultdict(Counter)
+    for r in docs.collect():
+        counts[r.lang].update(brute_grams(r.text))
+    for k, lang in enumerate(model.languages):
+        total = sum(counts[lang].values())
+        for bucket, n in list(counts[lang].items())[:200]:
+            assert model.log_p[bucket, k] == pytest.approx(math.log(0.5 * n / total + 0.5 / li.BUCKETS))
+
+    evidence = li.of_documents(docs).unionByName(li.of_pages(pages))
+    rows, size = evidence.collect(), len(model.names)
+    scored = []
+    for r in rows:
+        keys = brute_grams(r.text)
+        logs = model.log_p[keys].sum(axis=0) / (1 + len(keys) / li.SATURATION)
+        p = np.exp(logs - logs.max())
+        p[-1] *= li.UND_PRIOR
+        scored.append((r, len(keys), logs, p / p.sum()))
+    sums, by = np.zeros(size), defaultdict(lambda: np.zeros(size))
+    for r, n, _, p in scored:
+        if n:
+            sums += p
+            for c in li.EVIDENCE:
+                by[c, r[c]] += p
+    shares = (sums + 1) / (sums.sum() + size)
+    found = {(r.doc_id, r.page_id): r for r in li.identify(evidence, model).collect()}
+    assert len(found) == len(rows)
+    for r, n, logs, p in scored:
+        got = found[r.doc_id, r.page_id]
+        assert got.n_grams == n and got.accepted == (n > 0 and got.language != li.UND)
+        if not n:
+            continue
+        left = {c: np.maximum(by[c, r[c]] - p, 0) for c in li.EVIDENCE if r[c] is not None}
+        prior = shares
+        for c in ("domain", "host"):
+            if c in left:
+                prior = (left[c] + li.STRENGTH * prior) / (left[c].sum() + li.STRENGTH)
+        total = logs + np.log(prior)
+        for c in ("declared", "suffix"):
+            if c in left:
+                value = (left[c] + li.STRENGTH * shares) / (left[c].sum() + li.STRENGTH)
+                total += np.log(value / ((sums + 1) / (sums.sum() + size)))
+        weights = np.exp(total - total.max())
+        assert got.language == model.names[int(total.argmax())]
+        assert got.posterior == pytest.approx(1 / weights.sum(), rel=1e-6)
+
+
+def test_held_out_accuracy_and_clean_documents(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    model = li.train(docs.filter(queries.id_remainder(5) != 0))
+    found = li.identify(li.of_documents(docs), model).join(docs.select("doc_id", "lang"), "doc_id")
+    out = found.filter(queries.id_remainder(5) == 0)
+    right, total, accepted = out.select(
+        F.avg((F.col("language") == F.col("lang")).cast("int")), F.count("*"), F.avg(F.col("accepted").cast("int"))
+    ).first()
+    assert total > 100 and right > 0.95 and accepted > 0.98
+
+
+def test_declared_language_and_host_decide_short_texts(spark):
+    de = "der die und nicht ist das haben werden schreiben"
+    en = "the and that have with this from they would there"
+    docs = spark.createDataFrame([(i, t, lang) for i in range(30) for t, lang in ((de, "de"), (en, "en"))], "doc_id long, text string, lang string")
+    page = '<html lang="{}"><script>var x="the and that";</script><body>{}</body></html>'
+    rows = [(i, f"https://a{i}.example.de/x", page.format("de", de)) for i in range(20)]
+    rows += [(50 + i, "https://big.example.org/x", page.format("en", en)) for i in range(40)]
+    rows += [(90, "https://b.example.de/", page.format("de", "zzxq qwrt")), (91, "https://big.example.org/", "<p>zzxq qwrt</p>")]
+    rows += [(92, None, None), (93, "no address", "<html><p>12 34</p></html>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r for r in li.identify(li.of_pages(pages), li.train(docs)).collect()}
+    assert found[90].language == "de" and found[91].language == "en"
+    assert not found[92].accepted and not found[93].accepted
+    assert found[0].language == "de" and found[50].language == "en"
+
+
+def test_odd_rows(spark, odd, empty):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = li.train(docs)
+    kept = li.known_languages(odd, model)
+    assert kept.columns == odd.columns
+    assert {1, 2, 3}.isdisjoint(r.doc_id for r in kept.collect())
+    assert kept.filter("doc_id = 6").count() == 2
+    assert li.identify(li.of_documents(odd), model).count() == odd.count()
+    assert li.known_languages(empty, model).count() == 0
+    nothing = li.train(empty.withColumn("lang", F.lit(None).cast("string")))
+    assert nothing.languages == []
+    assert li.known_languages(odd, nothing).count() == 0
