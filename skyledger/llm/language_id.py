@@ -276,5 +276,6 @@ def known_languages(docs: DataFrame, model: Model, text: str = "text", source: s
     bad = written(found.filter(~F.col("accepted")).select("key", "host").distinct(), "rejected-texts")
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     host = F.concat(F.lit("source "), _known(F.col(source)))
-    on = (key == bad["key"]) & host.eqNullSafe(bad["host"])
+    bad = bad.toDF("_bad_key", "_bad_host")
+    on = (key == F.col("_bad_key")) & host.eqNullSafe(F.col("_bad_host"))
     return docs.join(bad, on, "left_anti")

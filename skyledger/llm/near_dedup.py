@@ -13,12 +13,17 @@ at 0.75, under 6e-7 at 0.8.
 1. Documents with equal sets become one class (a 64-bit hash of the set).
 2. Only half keys that two classes share can be part of a shared table key; the others
    are dropped before table keys are formed. This loses nothing.
-3. The classes of each table are compared with its least class, and the links found
-   give components. Tables that still hold several components are then compared across
-   components only, pair by pair. So copies that are linked anyway are not paired with
-   each other, however many they are, and no pair that shares a table goes unproven.
-4. A pair is proven on whole sets of 64-bit shingle hashes, fetched by a second reading
-   of the texts; a bit map of fixed size keeps out most documents without candidates.
+3. Whole sets of the classes in shared tables are fetched by a second reading of the
+   texts; a bit map of fixed size keeps out most of the others. A shingle that one class
+   alone has cannot be shared. The numbers of its other shingles, in all and in each of
+   BUCKETS parts of the hash space, bound what two classes can share, and pairs that
+   cannot reach the limit are not formed.
+4. The classes of each table are compared with the one of them that has least of its
+   own, and the links found give components. Tables that still hold several components
+   are then compared across components only, pair by pair. So copies that are linked
+   anyway are not paired with each other, however many they are, and no pair that
+   shares a table and could be linked goes unproven.
+5. A pair is proven on whole sets of 64-bit shingle hashes.
 
 Nothing is capped, and nothing that grows with the documents reaches the driver.
 
@@ -37,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.llm.bitmap import bit_map, in_map
 from skyledger.llm.components import components
 from skyledger.llm.store import written
 from skyledger.llm.words import Texts, chunks, mixed, shingles
@@ -44,8 +50,7 @@ from skyledger.llm.words import Texts, chunks, mixed, shingles
 SIMILAR_PERCENT = 75
 R = 3
 M = 21
-#: Bits of the map of candidate classes; the map is sent to all tasks (1 MB).
-MAP_BITS = 1 << 23
+BUCKETS = 64
 
 _RANDOM = np.random.default_rng(99)
 _FACTORS = _RANDOM.integers(1, 1 << 63, 2 * M * R, dtype=np.uint64) * 2 + 1
@@ -89,7 +94,7 @@ def half_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """doc_id, class, size and half keys of every document."""
+    """doc_id, key, class, size and half keys of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
@@ -100,81 +105,106 @@ def _described(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
+                    part.column("key"),
                     pa.array(set_hashes(h, at)),
                     pa.array(size.astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel())),
                 ],
-                ["doc_id", "class", "n", "halves"],
+                ["doc_id", "key", "class", "n", "halves"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, class long, n long, halves array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, class long, n long, halves array<long>")
 
 
 def _table_rows(classes: DataFrame) -> DataFrame:
-    """(key, class, n): each class in each of its tables that can hold another class."""
+    """(key, class): each class in each of its tables that can hold another class."""
     halves = written(
-        classes.select("class", "n", F.posexplode("halves").alias("pos", "half")), "half-keys"
+        classes.select("class", F.posexplode("halves").alias("pos", "half")), "half-keys"
     )
     shared = halves.groupBy("half").agg(F.count("*").alias("_c")).filter("_c > 1").select("half")
-    mine = halves.join(shared, "half").groupBy("class", "n").agg(
+    mine = halves.join(shared, "half").groupBy("class").agg(
         F.collect_list(F.when(F.col("pos") < M, F.col("half"))).alias("a"),
         F.collect_list(F.when(F.col("pos") >= M, F.col("half"))).alias("b"),
     )
     return (
-        mine.select("class", "n", F.explode("a").alias("a"), "b")
-        .select("class", "n", "a", F.explode("b").alias("b"))
-        .select(F.xxhash64("a", "b").alias("key"), "class", "n")
+        mine.select("class", F.explode("a").alias("a"), "b")
+        .select("class", "a", F.explode("b").alias("b"))
+        .select(F.xxhash64("a", "b").alias("key"), "class")
     )
 
 
-def _near_sizes(one: str, other: str) -> Column:
-    """Sets whose sizes differ too much cannot be similar."""
-    least, most = F.least(one, other), F.greatest(one, other)
-    return 100 * least >= SIMILAR_PERCENT * most
+def _possible(n: str, m: str, shared: Column) -> Column:
+    """Whether sets of sizes n and m that share so many at most can be similar."""
+    return (100 + SIMILAR_PERCENT) * shared >= SIMILAR_PERCENT * (F.col(n) + F.col(m))
 
 
-def _bit_map(classes: DataFrame) -> np.ndarray:
-    """A bit for each value of ``class`` modulo MAP_BITS; at most MAP_BITS / 64 rows."""
-    place = f"pmod(class, {MAP_BITS}L)"
-    rows = (
-        classes.selectExpr(
-            f"cast({place} div 64 as int) w", f"shiftleft(1L, cast({place} % 64 as int)) bit"
-        )
-        .groupBy("w")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toArrow()
-    )
-    words = np.zeros(MAP_BITS // 64, np.int64)
-    words[rows.column("w").to_numpy()] = rows.column("bits").to_numpy()
-    return words.view(np.uint64)
+def _least_of_buckets(b: str, c: str) -> Column:
+    lower = F.zip_with(b, c, lambda x, y: F.least(x, y).cast("long"))
+    return F.aggregate(lower, F.lit(0).cast("long"), lambda total, x: total + x)
+
+
+def _buckets(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, items): the sorted shingle hashes of each wanted class, as bytes."""
-    bits = _bit_map(wanted)
+    """(class, items, b): the sorted shingle hashes of each wanted class, as bytes, and
+    how many are in each bucket."""
+    bits = bit_map(wanted.select(F.col("class").alias("h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for _, texts in chunks(batches):
             h, at = distinct_shingles(texts)
             classes = set_hashes(h, at)
-            place = classes.view(np.uint64) % np.uint64(MAP_BITS)
-            there = (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
-            own, items = [], []
-            for i in np.flatnonzero(there & (np.diff(at) > 0)):
+            own, items, counts = [], [], []
+            for i in np.flatnonzero(in_map(classes, bits) & (np.diff(at) > 0)):
                 if (c := int(classes[i])) not in sent:
                     if len(sent) < 100_000:  # copies in one task are sent once
                         sent.add(c)
                     own.append(c)
-                    items.append(h[at[i] : at[i + 1]].tobytes())
+                    part = h[at[i] : at[i + 1]]
+                    items.append(part.tobytes())
+                    counts.append(np.bincount(_buckets(part), minlength=BUCKETS))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int64()), pa.array(items, pa.binary())], ["class", "items"]
+                [pa.array(own, pa.int64()), pa.array(items, pa.binary()), pa.array(counts, pa.list_(pa.int32()))],
+                ["class", "items", "b"],
             )
 
-    found = docs.mapInArrow(run, "class long, items binary").join(wanted, "class", "left_semi")
+    found = docs.mapInArrow(run, "class long, items binary, b array<int>").join(wanted, "class", "left_semi")
     return written(found.dropDuplicates(["class"]), "shingle-sets")
 
 
+def _shared_sizes(sets: DataFrame) -> DataFrame:
+    """(class, n, most, b): how many shingles some other class of ``sets`` has too.
+
+    In all, and in each bucket. Without the classes that have too many of their own to be similar to any.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                items = pa.array(np.frombuffer(batch.column("items")[k].as_buffer(), np.int64))
+                own = pa.array(np.full(len(items), batch.column("class")[k].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([items, own], ["item", "class"])
+
+    own = (
+        sets.mapInArrow(run, "item long, class long")
+        .groupBy("item")
+        .agg(F.count("*").alias("c"), F.min("class").alias("class"))
+        .filter("c = 1")
+        .groupBy("class", F.expr(f"cast(pmod(item, {BUCKETS}L) as int)").alias("bucket"))
+        .agg(F.count("*").alias("c"))
+        .groupBy("class")
+        .agg(F.sum("c").alias("own"), F.map_from_entries(F.collect_list(F.struct("bucket", "c"))).alias("by"))
+    )
+    sizes = sets.select("class", F.expr("octet_length(items) div 8").alias("n"), "b").join(own, "class", "left")
+    lower = F.transform("b", lambda x, i: x - F.coalesce(F.try_element_at("by", i).cast("int"), F.lit(0)))
+    sizes = sizes.withColumns({"most": F.col("n") - F.coalesce("own", F.lit(0)), "b": lower})
+    possible = 100 * F.col("most") >= SIMILAR_PERCENT * F.col("n")
+    return written(sizes.filter(possible).select("class", "n", "most", "b"), "shared-sizes")
+
+
 def _proven(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough, compared in whole."""
 
@@ -195,23 +225,28 @@ def _proven(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pairs_to_least(tables: DataFrame) -> DataFrame:
-    """(u, v): the classes of each table with its least one."""
+    """(u, v): the classes of each table with the one that has least of its own."""
+    own = ((F.col("n") - F.col("most")) / F.col("n")).alias("own")
     least = (
         tables.groupBy("key")
-        .agg(F.min(F.struct("class", "n")).alias("least"), F.count("*").alias("_c"))
+        .agg(F.min(F.struct(own, "class", "n", "most")).alias("x"), F.count("*").alias("_c"))
         .filter("_c > 1")
-        .select("key", F.col("least.class").alias("u"), F.col("least.n").alias("m"))
+        .select("key", F.col("x.class").alias("x"), F.col("x.n").alias("m"), F.col("x.most").alias("most_m"))
+    )
+    pairs = tables.join(least, "key").filter(
+        (F.col("class") != F.col("x")) & _possible("n", "m", F.least("most", "most_m"))
     )
-    pairs = tables.join(least, "key").filter((F.col("class") != F.col("u")) & _near_sizes("n", "m"))
-    return pairs.select("u", F.col("class").alias("v")).distinct()
+    return pairs.select(F.least("x", "class").alias("u"), F.greatest("x", "class").alias("v")).distinct()
 
 
-def _pairs_across(tables: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+def _pairs_across(
+    tables: DataFrame, sizes: DataFrame, labels: DataFrame, tried: DataFrame
+) -> DataFrame:
     """(u, v): pairs of one table in different components that were not tried before."""
     known = labels.select(F.col("node").alias("class"), "component")
-    rows = tables.join(known, "class", "left").select(
-        "key", "class", "n", F.coalesce("component", "class").alias("component")
-    )
+    component = F.coalesce("component", "class").alias("component")
+    sizes = written(sizes.join(known, "class", "left").select("class", component, "n", "most", "b"), "component-sizes")
+    rows = tables.select("key", "class").join(sizes, "class")
     rows = written(rows, "table-components")
     mixed_keys = (
         rows.groupBy("key")
@@ -220,53 +255,96 @@ def _pairs_across(tables: DataFrame, labels: DataFrame, tried: DataFrame) -> Dat
         .select("key")
     )
     rows = written(rows.join(mixed_keys, "key", "left_semi"), "mixed-tables")
-    others = rows.groupBy("key", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    others = others.withColumnRenamed("component", "other")
-    within = (100 * F.col("high") >= SIMILAR_PERCENT * F.col("n")) & (
-        SIMILAR_PERCENT * F.col("low") <= 100 * F.col("n")
+    # What the members of a component can share at most, each part by itself.
+    highest = F.array(*[F.max(F.get("b", F.lit(k))) for k in range(BUCKETS)])
+    bounds = sizes.groupBy(F.col("component").alias("other")).agg(
+        F.min("n").alias("m"), F.max("most").alias("most_m"), highest.alias("c")
+    )
+    others = rows.select("key", F.col("component").alias("other")).distinct().join(bounds, "other")
+    cheap, close = F.least("most", "most_m"), _least_of_buckets("b", "c")
+    half = rows.join(written(others, "table-others"), "key").filter(
+        (F.col("other") > F.col("component")) & _possible("n", "m", cheap) & _possible("n", "m", close)
     )
-    half = rows.join(others, "key").filter((F.col("other") > F.col("component")) & within)
-    half = half.select("key", "other", F.col("class").alias("x"), F.col("n").alias("m"))
+    half = half.selectExpr("key", "other", "class as x", "n as m", "most as most_m", "b as c")
     whole = half.join(rows.withColumnRenamed("component", "other"), ["key", "other"])
-    pairs = whole.filter(_near_sizes("n", "m")).select(
+    pairs = whole.filter(_possible("n", "m", cheap) & _possible("n", "m", close)).select(
         F.least("x", "class").alias("u"), F.greatest("x", "class").alias("v")
     )
     return pairs.distinct().join(tried, ["u", "v"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable) and kept, for every row."""
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n, component (a class; null without shingles) and its least id.
+
+    ``docs`` has doc_id, key (of the text) and text.
+    """
     described = written(_described(docs), "shingle-classes")
     classes = described.filter("n > 0").groupBy("class").agg(
-        F.min("doc_id").alias("least_id"), F.min("n").alias("n"), F.first("halves").alias("halves")
+        F.min("doc_id").alias("least_id"), F.first("halves").alias("halves")
     )
     classes = written(classes, "classes")
     tables = _table_rows(classes)
-    sizes = tables.groupBy("key").agg(F.count("*").alias("_c")).filter("_c > 1").select("key")
-    tables = written(tables.join(sizes, "key", "left_semi"), "tables")
-    tried = written(_pairs_to_least(tables), "pairs-to-least")
+    shared = tables.groupBy("key").agg(F.count("*").alias("_c")).filter("_c > 1").select("key")
+    tables = written(tables.join(shared, "key", "left_semi"), "tables")
     sets = _sets(docs, tables.select("class").distinct())
+    sizes = _shared_sizes(sets)
+    tables = tables.select("key", "class").join(sizes.select("class", "n", "most"), "class")
+    tables = written(tables, "possible-tables")
+    tried = written(_pairs_to_least(tables), "pairs-to-least")
     links = _proven(tried, sets)
     labels = written(components(links), "first-components")
-    more = written(_pairs_across(tables, labels, tried), "pairs-across")
-    links = links.union(_proven(more, sets))
-    labels = components(links)
-    return _labelled(described, classes, labels)
-
-
-def _labelled(described: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    more = written(_pairs_across(tables, sizes, labels, tried), "pairs-across")
+    labels = components(links.union(_proven(more, sets)))
     known = classes.select("class", "least_id").join(
         labels.select(F.col("node").alias("class"), "component"), "class", "left"
     )
     known = written(known.withColumn("component", F.coalesce("component", "class")), "labels")
     least = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    ids = written(known.join(least, "component").select("class", "component_id"), "component-ids")
-    rows = described.select("doc_id", "n", "class").join(ids, "class", "left")
+    ids = written(known.join(least, "component").select("class", "component", "component_id"), "component-ids")
+    return described.select("doc_id", "key", "n", "class").join(ids, "class", "left").drop("class")
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id reachable) and kept, for every row."""
+    docs = docs.select(
+        F.col(id_column).cast("long").alias("doc_id"), text_key(text).alias("key"), F.col(text).alias("text")
+    )
     found = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select(
+    return _grouped(docs).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         found.alias("component_id"),
         F.col("doc_id").eqNullSafe(found).alias("kept"),
     )
+
+
+def text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: of the least id, then text key.
+
+    Rows without words stay. A null id comes after all others. Rows that have this id
+    and text in common are one row after it.
+    """
+    own_id, own_key = F.col(id_column).cast("long"), text_key(text)
+    rows = docs.select(own_id.alias("doc_id"), own_key.alias("key"), F.col(text).alias("text"))
+    rows = written(_grouped(rows).filter("n > 0").select("doc_id", "key", "component"), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key"))
+    winners = written(rows.groupBy("component").agg(first.alias("w")), "group-winners")
+    wins = F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("key") == F.col("w.key"))
+    judged = rows.join(winners, "component").withColumn("wins", wins)
+    losers = written(judged.filter("not wins").select("doc_id", "key").distinct(), "losers")
+    again = judged.filter("wins").groupBy("doc_id", "key").agg(F.count("*").alias("c")).filter("c > 1")
+    again = written(again, "repeated-winners")
+
+    def among(other: DataFrame) -> tuple[DataFrame, Column]:
+        named = other.toDF("_lost_id", "_lost_key", *other.columns[2:])
+        return named, own_id.eqNullSafe(F.col("_lost_id")) & (own_key == F.col("_lost_key"))
+
+    kept = docs.join(*among(losers), "left_anti")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(*among(again), "left_semi").dropDuplicates([id_column, text])
+    return kept.join(*among(again), "left_anti").unionByName(repeated)

@@ -24,6 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.llm.bitmap import bit_map, in_map
 from skyledger.llm.store import written
 
 
@@ -115,7 +116,9 @@ class Ledger:
         rows = versions.select(F.col(path).alias("path"), F.col(text).alias("text"))
         paths = written(rows.select("path", blob_of("text").alias("blob")), "blob-paths")
         self._scan_unseen(rows, paths)
-        return self._joined_back(paths)
+        return paths.join(self.findings(), "blob", "left").select(
+            "path", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")
+        )
 
     def _names(self) -> dict[str, str]:
         return {f"{kind}:{rule.version}": kind for kind, rule in self.rules.items()}
@@ -159,9 +162,9 @@ class Ledger:
 
         texts.mapInArrow(scan, LEDGER).write.mode("append").parquet(self.folder)
 
-    def _joined_back(self, paths: DataFrame) -> DataFrame:
-        kinds = list(self.rules)
-        current = F.array(*map(F.lit, kinds))
+    def findings(self) -> DataFrame:
+        """(blob, spans) of each blob in which a current rule found something."""
+        current = F.array(*map(F.lit, self.rules))
         found = (
             self.rows()
             .filter(F.size("spans") > 0)
@@ -169,10 +172,57 @@ class Ledger:
             .agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
             .withColumn("spans", F.filter("spans", lambda s: F.array_contains(current, s["kind"])))
         )
-        found = written(found, "blob-findings")
-        return paths.join(found, "blob", "left").select(
-            "path", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")
-        )
+        return written(found.filter(F.size("spans") > 0), "blob-findings")
+
+
+def redacted(docs: DataFrame, ledger: Ledger, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with each secret replaced by its kind; a column n_chars counts the new text.
+
+    Rows whose blob cannot be among the findings, by a bit map of these, pass as they
+    are, so only the others meet the findings in a join.
+    """
+    ledger.scan(docs, path, text)
+    found = ledger.findings().withColumn("h", F.xxhash64("blob"))
+    bits = bit_map(found.select("h"))
+    names = docs.columns
+    hashed = docs.withColumn("_h", F.xxhash64(blob_of(text)))
+
+    def side(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                there = in_map(batch.column("_h").to_numpy(zero_copy_only=False), bits) == wanted
+                yield batch.select(names).filter(pa.array(there))
+
+        return hashed.mapInArrow(run, docs.schema)
+
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                content if spans is None else without(content, spans)
+                for content, spans in zip(
+                    batch.column(text).to_pylist(), batch.column("_spans").to_pylist(), strict=True
+                )
+            ]
+            out = batch.select(names)
+            yield out.set_column(names.index(text), text, pa.array(texts, pa.string()))
+
+    maybe = side(True)
+    spans = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    joined = maybe.withColumn("_blob", blob_of(text)).join(spans, "_blob", "left")
+    changed = joined.select(*names, "_spans").mapInArrow(replace, docs.schema)
+    if "n_chars" in names:
+        changed = changed.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return side(False).unionByName(changed)
+
+
+def without(text: str, spans: list[dict]) -> str:
+    """``text`` with each stretch of overlapping spans replaced by the kind of the first."""
+    out, at = [], 0
+    for span in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if span["start"] >= at:
+            out += [text[at : span["start"]], f"[{span['kind']}]"]
+        at = max(at, span["end"])
+    return "".join([*out, text[at:]])
 
 
 def digest(found: DataFrame, rules: Mapping[str, Rule] = RULES) -> DataFrame:
