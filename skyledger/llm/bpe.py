@@ -5,7 +5,7 @@ letters, numbers and other marks with one space before, white space). The first
 looks each up in a minimal perfect hash of the vocabulary: two array reads, then the
 whole 64-bit hash and the length are compared. The second tier merges the bytes of a
 pre-token that is no token itself: linked bytes, and a heap of neighbouring pairs by
-rank and place. Results of the second tier are kept for the next texts of a task, up
+rank and place. Results of the second tier are kept for the next texts of a worker, up
 to ``KEEP`` of them.
 
 Null and empty texts have no ids; other columns are kept as they are; equal rows get
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from array import array
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 
 from skyledger.llm.words import Texts, chunks, mixed, span_hashes
 
-#: Merged pre-tokens a task keeps; more only cost time.
-KEEP = 400_000
+#: Merged pre-tokens a worker keeps (about 180 bytes each); more only cost time.
+KEEP = 600_000
 
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 # White space of the pattern, and the endings after an apostrophe.
@@ -133,18 +134,21 @@ class PerfectHash:
 def merged(piece: bytes, ranks: Mapping[bytes, int]) -> list[int]:
     """Ids of ``piece`` after all merges, lowest rank first, the leftmost of equals."""
     n = len(piece)
-    if piece in ranks:
-        return [ranks[piece]]
+    rank_of = ranks.get
     after = list(range(1, n + 1))  # where the part that begins at i ends
     before = list(range(-1, n - 1))  # where the part before it begins
-    heap = []
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            heap.append((rank, i, i + 2))
+    # A heap entry is one number: rank, begin and end of a pair of neighbours.
+    bits = n.bit_length()
+    last, two = (1 << bits) - 1, 2 * bits
+    heap = [
+        rank << two | i << bits | i + 2
+        for i in range(n - 1)
+        if (rank := rank_of(piece[i : i + 2])) is not None
+    ]
     heapify(heap)
     while heap:
-        _, i, end = heappop(heap)
+        entry = heappop(heap)
+        i, end = entry >> bits & last, entry & last
         middle = after[i]
         # A pair that has changed since is passed over; its new form is in the heap.
         if middle >= n or middle < 0 or after[middle] != end:
@@ -152,21 +156,26 @@ def merged(piece: bytes, ranks: Mapping[bytes, int]) -> list[int]:
         after[i], after[middle] = end, -1
         if end < n:
             before[end] = i
-            rank = ranks.get(piece[i : after[end]])
+            rank = rank_of(piece[i : after[end]])
             if rank is not None:
-                heappush(heap, (rank, i, after[end]))
+                heappush(heap, rank << two | i << bits | after[end])
         if i:
             h = before[i]
-            rank = ranks.get(piece[h:end])
+            rank = rank_of(piece[h:end])
             if rank is not None:
-                heappush(heap, (rank, h, end))
+                heappush(heap, rank << two | h << bits | end)
     ids, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        end = after[i]
+        ids.append(ranks[piece[i:end]])
+        i = end
     return ids
 
 
+#: Merged pre-tokens by vocabulary and hash, for all tasks of one worker.
+_KNOWN: dict[int, dict[int, bytes]] = {}
+
+
 class Vocabulary:
     """Ranks of byte strings. Built on the driver from its file, sent to the tasks."""
 
@@ -189,10 +198,7 @@ class Vocabulary:
         self.row_of = np.full(int(self.ids.max()) + 1, -1, np.int64)
         self.row_of[self.ids] = np.arange(len(tokens))
         self.classes = character_classes()
-        self.known: dict[int, list[int]] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        self.name = int(mixed(np.bitwise_xor.reduce(hashes * (self.ids + 1).astype(np.uint64), keepdims=True))[0])
 
     def whole(self, hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The id of each pre-token that is a token itself, else -1."""
@@ -210,8 +216,8 @@ class Vocabulary:
         missed = np.flatnonzero(found < 0)
         distinct, example, which = np.unique(hashes[missed], return_index=True, return_inverse=True)
         pieces = self._merged_all(texts, starts, ends, distinct.tolist(), missed[example].tolist())
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.fromiter((i for p in pieces for i in p), np.int32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        flat = np.frombuffer(b"".join(pieces), np.int32)
         count = np.ones(len(starts), np.int64)
         count[missed] = sizes[which]
         to = np.concatenate([[0], np.cumsum(count)])
@@ -224,15 +230,15 @@ class Vocabulary:
             ids[np.repeat(to[missed], many) + step] = flat[np.repeat(begin, many) + step]
         return ids, to[at]
 
-    def _merged_all(self, texts, starts, ends, hashes, examples) -> list[list[int]]:
-        known, ranks, b = self.known, self.ranks, texts.bytes
+    def _merged_all(self, texts, starts, ends, hashes, examples) -> list[bytes]:
+        known, ranks, b = _KNOWN.setdefault(self.name, {}), self.ranks, texts.bytes
         if len(known) > KEEP:
             known.clear()
         out = []
         for h, i in zip(hashes, examples, strict=True):
             ids = known.get(h)
             if ids is None:
-                ids = known[h] = merged(b[starts[i] : ends[i]].tobytes(), ranks)
+                ids = known[h] = array("i", merged(b[starts[i] : ends[i]].tobytes(), ranks)).tobytes()
             out.append(ids)
         return out
 
@@ -253,20 +259,43 @@ def load(path: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(p[0]): int(p[1]) for p in pairs if p})
 
 
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
+
+
+def _contents(texts: Texts) -> pa.Array:
+    at = pa.array(texts.at, pa.int32())
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), len(at) - 1, [None, at.buffers()[1], pa.py_buffer(texts.bytes)]
+    )
+
+
 def encode(
-    docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids"
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str | None = None,
 ) -> DataFrame:
-    """``docs`` with an array of token ids in the place of the text."""
-    kept = [f for f in docs.schema.fields if f.name not in (text, ids)]
-    names = [f.name for f in kept]
+    """``docs`` with an array of token ids in the place of the text.
+
+    ``decoded`` names a column for the bytes that these ids stand for, found from the
+    ids in the same task.
+    """
+    new = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.BinaryType()} if decoded else {})
+    names = [f.name for f in docs.schema.fields if f.name != text and f.name not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, text):
             values, at = vocabulary.encode(texts)
-            column = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*map(part.column, names), column], [*names, ids])
-
-    schema = docs.select(*names).schema.add(ids, T.ArrayType(T.IntegerType()))
+            columns = [*map(part.column, names), _lists(values, at)]
+            if decoded:
+                columns.append(_contents(vocabulary.decode(values, at)))
+            yield pa.RecordBatch.from_arrays(columns, [*names, *new])
+
+    schema = docs.select(*names).schema
+    for name, kind in new.items():
+        schema = schema.add(name, kind)
     return docs.select(*names, text).mapInArrow(run, schema)
 
 

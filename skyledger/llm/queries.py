@@ -18,10 +18,12 @@ from skyledger.llm import (
     secrets,
     sharding,
 )
+from skyledger.llm.store import small_batches
 from skyledger.plans import scratch_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -80,7 +82,7 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, multi_language_bpe()), multi_language_bpe())
+    coded = bpe.encode(docs, multi_language_bpe(), decoded="decoded")
     decimal = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select(
         "doc_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from skyledger.plans import scratch_folder
 
@@ -17,3 +17,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sends texts to Python workers in batches of 8 MB or 1000 rows.
+
+    Spark's own sizes (64 MB, 10,000 rows) are held several times over by each worker
+    and by its task.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

@@ -85,4 +85,6 @@ def test_odd_rows(odd, empty, library):
         assert bytes(r.decoded).decode() == texts[r.doc_id, r.source]
         assert r.size == "extra"
     assert bpe.encode(odd, vocabulary).count() == len(rows)
+    at_once = bpe.encode(odd.drop("ids"), vocabulary, decoded="decoded")
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, rows))
     assert bpe.encode(empty, vocabulary).count() == 0
