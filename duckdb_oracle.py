@@ -306,3 +306,25 @@ SELECT (SELECT count(DISTINCT route_code) FROM network) AS routes,
     ),
     "csv_export": _monthly_trend(f"class IN ({ALL})"),
 }
+
+# The same answers by way of files.
+ORACLE_SQL |= {
+    "csv_top_routes": ORACLE_SQL["top_routes"],
+    "csv_airports": ORACLE_SQL["airport_revenue"],
+    "csv_regions": _regional_revenue("origin_continent IS NOT NULL"),
+    "monthly_trend_year_from_marts": ORACLE_SQL["monthly_trend_year"],
+}
+
+# Answers of one report: the name of each, and what its rows are about.
+_REPORT = {
+    "class_revenue": "class",
+    "airport_revenue": "origin",
+    "top_routes": "route_code",
+    "monthly_trend": "year || '-' || month",
+    "csv_regions": "region_pair",
+}
+ORACLE_SQL["report_from_marts"] = "\nUNION ALL\n".join(
+    f"SELECT '{name.replace('csv_regions', 'regional_revenue')}' AS answer, {about} AS about,"
+    f" ticket_count, revenue FROM ({ORACLE_SQL[name]})"
+    for name, about in _REPORT.items()
+)

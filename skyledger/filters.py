@@ -12,8 +12,8 @@ from skyledger.functions.labels import CABINS
 
 ALL_CLASSES = tuple(CABINS)
 
-# The range offered for "top N", and its default.
-TOP_N_MIN, TOP_N_MAX, TOP_N_DEFAULT = 5, 30, 15
+# Fixed value: how many rows a ranking has unless told otherwise.
+TOP_N_DEFAULT = 15
 
 
 @dataclass(frozen=True)
@@ -49,8 +49,6 @@ class FilterSpec:
         unknown = [label for label in cabins if label not in codes]
         if unknown:
             raise ValueError(f"unknown cabin {unknown}; choose from {list(codes)}")
-        if not TOP_N_MIN <= top_n <= TOP_N_MAX:
-            raise ValueError(f"top_n must lie in {TOP_N_MIN}..{TOP_N_MAX}, got {top_n}")
         return cls(
             classes=tuple(codes[label] for label in cabins) or ALL_CLASSES,
             continents=tuple(continents) or None,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,25 +26,26 @@ def list_years(marts: Marts) -> DataFrame:
 
 def source_stats(marts: Marts) -> DataFrame:
     """One row of counts. Airports are those used at either end of a route,
-    countries those of origin airports.
+    countries those of origin airports; tickets are counted by the route mart.
 
-    The monthly mart counts every ticket once, as the route mart does, and has
-    the years too, so the fact is not aggregated a second time. The two one-row
-    halves meet by union and ``max``, which skips the nulls of the other half.
+    Each number is a small aggregation of its own, so no row is made more than once
+    per distinct count. They meet by union and ``max``, which skips the nulls of the
+    other parts.
     """
-    network = marts.routes_with_airports.select(
-        "route_code", "origin_country", F.explode(F.array("origin", "destination")).alias("code")
-    ).agg(
-        F.countDistinct("route_code").alias("routes"),
-        F.countDistinct("code").alias("airports"),
-        F.countDistinct("origin_country").alias("countries"),
-    )
-    sales = marts.monthly_revenue.agg(
-        total("ticket_count").alias("tickets"),
-        F.min("year").alias("year_min"),
-        F.max("year").alias("year_max"),
-    )
+    routes = marts.routes_with_airports
+
+    def different(values: DataFrame, name: str) -> DataFrame:
+        column = values.columns[0]
+        return values.distinct().agg(F.count(column).alias(name))
+
+    ends = routes.select("origin").union(routes.select("destination"))
+    parts = [
+        different(routes.select("route_code"), "routes"),
+        different(ends, "airports"),
+        marts.revenue_by_route_class.agg(total("ticket_count").alias("tickets")),
+        different(routes.select("origin_country"), "countries"),
+        marts.monthly_revenue.agg(F.min("year").alias("year_min"), F.max("year").alias("year_max")),
+    ]
     columns = ["routes", "airports", "tickets", "countries", "year_min", "year_max"]
-    return network.unionByName(sales, allowMissingColumns=True).agg(
-        *[F.max(name).alias(name) for name in columns]
-    )
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return together.agg(*[F.max(name).alias(name) for name in columns])

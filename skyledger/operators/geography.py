@@ -60,7 +60,7 @@ def airport_revenue(
 
 
 def regional_revenue(
-    marts: Marts, spec: FilterSpec, rollup: DataFrame | None = None
+    marts: Marts, spec: FilterSpec, rollup: DataFrame | None = None, ordered: bool = True
 ) -> DataFrame:
     """Revenue from each origin continent to each destination continent.
 
@@ -69,7 +69,7 @@ def regional_revenue(
     holds at most one row per pair of continents.
     """
     whole = F.sum("revenue").over(W.partitionBy())
-    return (
+    pairs = (
         selected_routes(marts, spec, rollup)
         .groupBy("origin_continent", "dest_continent")
         .agg(
@@ -79,16 +79,17 @@ def regional_revenue(
             mean(F.col("distance")).alias("avg_distance"),
         )
         .withColumn("revenue_share", ratio(F.col("revenue"), whole))
-        .orderBy(F.desc("revenue"), "origin_continent", "dest_continent")
-        .select(
-            "origin_continent",
-            "dest_continent",
-            region_label(F.col("origin_continent"), F.col("dest_continent")).alias("region_pair"),
-            "ticket_count",
-            as_double("revenue"),
-            "route_count",
-            "avg_distance",
-            ratio(F.col("revenue"), F.col("ticket_count")).alias("avg_ticket_value"),
-            "revenue_share",
-        )
+    )
+    if ordered:
+        pairs = pairs.orderBy(F.desc("revenue"), "origin_continent", "dest_continent")
+    return pairs.select(
+        "origin_continent",
+        "dest_continent",
+        region_label(F.col("origin_continent"), F.col("dest_continent")).alias("region_pair"),
+        "ticket_count",
+        as_double("revenue"),
+        "route_count",
+        "avg_distance",
+        ratio(F.col("revenue"), F.col("ticket_count")).alias("avg_ticket_value"),
+        "revenue_share",
     )

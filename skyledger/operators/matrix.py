@@ -14,17 +14,24 @@ from skyledger.functions.labels import UNKNOWN_REGION, compact_money
 def region_matrix(regions: DataFrame) -> DataFrame:
     """A row per cell of the matrix over ``regional_revenue``; a missing pair is 0.
 
-    Every known cell is spread over the axis of destinations and counts where it
-    is at home, so the pairs are read once and nothing is joined. The axis is a
-    set of continents: the frame stays within continents cubed.
+    Each origin becomes one row with its known cells. The axis of destinations is
+    gathered from these few rows and put beside each, and exploding it makes just the
+    cells of the matrix. The order of ``regions`` is of no use here: hand over
+    ``regional_revenue(..., ordered=False)``.
     """
-    axis = F.collect_set(F.struct("dest_continent")).over(W.partitionBy())
-    at_home = F.col("dest_continent").eqNullSafe(F.col("cell.dest_continent"))
+    cell = F.struct("dest_continent", "revenue")
+    origins = regions.groupBy("origin_continent").agg(F.collect_set(cell).alias("cells"))
+    known = F.transform("cells", lambda c: F.struct(c["dest_continent"].alias("name")))
+    axis = F.array_distinct(F.flatten(F.collect_list(known).over(W.partitionBy())))
+    of_cell = F.filter("cells", lambda c: c["dest_continent"].eqNullSafe(F.col("axis.name")))
     return (
-        regions.select("origin_continent", "dest_continent", "revenue", axis.alias("axis"))
-        .withColumn("cell", F.explode("axis"))
-        .groupBy("origin_continent", F.col("cell.dest_continent").alias("dest_continent"))
-        .agg(F.sum(F.when(at_home, F.col("revenue")).otherwise(0.0)).alias("revenue"))
+        origins.withColumn("axis", axis)
+        .select("origin_continent", "cells", F.explode("axis").alias("axis"))
+        .select(
+            "origin_continent",
+            F.col("axis.name").alias("dest_continent"),
+            F.coalesce(F.get(of_cell, F.lit(0))["revenue"], F.lit(0.0)).alias("revenue"),
+        )
         .withColumn("label", compact_money(F.col("revenue")))
         .orderBy("origin_continent", "dest_continent")
     )

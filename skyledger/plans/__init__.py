@@ -3,8 +3,9 @@
 from skyledger.plans.export import export_csv, export_report
 from skyledger.plans.materialise import materialise, scratch_folder
 from skyledger.plans.pushdown import builders_in_database
-from skyledger.plans.refresh import DuplicateRouteError, refresh_marts
+from skyledger.plans.refresh import refresh_marts
 from skyledger.plans.report import run_report
+from skyledger.sources.marts import DuplicateRouteError
 
 __all__ = [
     "DuplicateRouteError",

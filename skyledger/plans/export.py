@@ -18,9 +18,24 @@ EXPORTS = {
 
 
 def plain_number(column: Column) -> Column:
-    """A double as text without an exponent: 1058306884.49 rather than 1.05830688449E9."""
-    digits = column.cast("string").cast("decimal(38,17)").cast("string")
-    return F.regexp_replace(digits, r"(\.\d+?)0+$", "$1")
+    """A double as text without an exponent: 1058306884.49 rather than 1.05830688449E9.
+
+    Spark's own digits, which read back equal, with the point moved; NaN and infinity
+    are their names.
+    """
+    text = column.cast("string")
+    form = r"^(-?)(\d+)\.(\d+)E(-?\d+)$"
+    sign, whole, after, power = (F.regexp_extract(text, form, k) for k in (1, 2, 3, 4))
+    digits = F.concat(whole, F.when(after != "0", after).otherwise(F.lit("")))
+    # Only where there is an exponent is there a power to read.
+    shift = F.when(power != "", power).cast("int")
+    padded = F.rpad(digits, F.greatest(F.length(digits), shift + 1), "0")
+    rest = F.substring(padded, shift + 2, F.length(padded))
+    large = F.concat(
+        sign, F.substring(padded, F.lit(1), shift + 1), F.lit("."), F.when(rest != "", rest).otherwise(F.lit("0"))
+    )
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -shift - 1), digits)
+    return F.when(power == "", text).when(shift >= 0, large).otherwise(small)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

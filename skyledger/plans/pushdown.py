@@ -43,14 +43,14 @@ def _route_class(spark: SparkSession, source: JdbcSource) -> DataFrame:
     ).select(*MART_COLUMNS["revenue_by_route_class"])
 
 
-def _monthly(spark: SparkSession, source: JdbcSource) -> DataFrame:
+def _monthly(spark: SparkSession, source: JdbcSource, year: str, month: str) -> DataFrame:
     grouped = source.query(
         spark,
         _grouped(
             source,
             {
-                "year": "EXTRACT(YEAR FROM departure)",
-                "month": "EXTRACT(MONTH FROM departure)",
+                "year": year,
+                "month": month,
                 "class": "class",
             },
             {"ticket_count": "COUNT(*)", "revenue": "SUM(total_amount)"},
@@ -72,14 +72,18 @@ def _network(spark: SparkSession, source: JdbcSource) -> DataFrame:
 
 
 def builders_in_database(
-    spark: SparkSession, source: JdbcSource
+    spark: SparkSession,
+    source: JdbcSource,
+    year: str = "YEAR(departure)",
+    month: str = "MONTH(departure)",
 ) -> dict[str, Callable[[], DataFrame]]:
     """Mart name -> function that plans it, with the fact grouped by the database.
 
-    Only groups and the two dimensions cross the network.
+    Only groups and the two dimensions cross the network. ``year`` and ``month`` are
+    expressions in the database's dialect, such as EXTRACT(YEAR FROM departure).
     """
     return {
         "routes_with_airports": lambda: _network(spark, source),
         "revenue_by_route_class": lambda: _route_class(spark, source),
-        "monthly_revenue": lambda: _monthly(spark, source),
+        "monthly_revenue": lambda: _monthly(spark, source, year, month),
     }

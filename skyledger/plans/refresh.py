@@ -2,41 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skyledger.operators.marts import mart_builders
-from skyledger.plans.materialise import materialise
-from skyledger.sources.marts import mart_path
+from skyledger.sources.marts import check_unique_routes, mart_path, publish
 from skyledger.sources.tables import RawTables
 
 
-class DuplicateRouteError(ValueError):
-    """A route code stands for more than one route."""
+def _written(spark: SparkSession, name: str, mart: DataFrame, path: str) -> int:
+    """Write the mart once, then check and count what was written."""
+    mart.write.parquet(path)
+    there = spark.read.parquet(path)
+    if name == "routes_with_airports":
+        check_unique_routes(there)
+    return there.count()
 
 
-def check_unique_routes(routes: DataFrame) -> None:
-    """Refuse routes that would count the revenue of a code more than once."""
-    repeated = (
-        routes.filter(F.col("route_code").isNotNull())
-        .groupBy("route_code")
-        .count()
-        .filter(F.col("count") > 1)
-        .orderBy("route_code")
-        .select("route_code")
-        .limit(5)
-    )
-    examples = [row.route_code for row in repeated.collect()]
-    if examples:
-        raise DuplicateRouteError(f"route_code is not unique, for example {examples}")
-
-
-def _write(spark: SparkSession, mart: DataFrame, path: str) -> int:
-    """Replace the mart at ``path``, then count what was written by file footers."""
-    mart.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).count()
+def _short(error: Exception) -> str:
+    """The kind of an error and its first line, without the trace below it."""
+    lines = str(error).strip().splitlines()
+    return f"{type(error).__name__}: {lines[0] if lines else ''}"
 
 
 def refresh_marts(
@@ -46,23 +34,26 @@ def refresh_marts(
 ) -> DataFrame:
     """Build and write every mart under ``folder``; one status row per mart.
 
-    A mart that fails is reported and skipped, the others are still written. Each
-    is computed into the checkpoint folder first, so that one that fails while
-    reading the fact leaves the mart written before in place.
+    Each mart is written once, to a folder of this run. Those that were written and
+    passed their checks are then published together, by one small file that
+    ``read_marts`` follows; so a mart that fails in any step is reported and skipped,
+    and its last published version stays. Earlier runs stay on disk, for readers that
+    have begun; ``runs`` in the folder may be cleared of any that is not published.
     ``source`` is the raw tables, or a function per mart such as those of
     ``builders_in_database``.
     """
     builders = mart_builders(source) if isinstance(source, RawTables) else source
-    status = []
+    run = f"runs/{uuid.uuid4().hex}"
+    status, done = [], []
     for name, build in builders.items():
         try:
-            mart = materialise(build())
-            if name == "routes_with_airports":
-                check_unique_routes(mart)
-            rows = _write(spark, mart, mart_path(folder, name))
+            rows = _written(spark, name, build(), mart_path(f"{folder}/{run}", name))
             status.append((name, rows, "written", None))
+            done.append(name)
         except Exception as error:  # any failure is one mart's, not the refresh's
-            status.append((name, None, "failed", f"{type(error).__name__}: {error}"))
+            status.append((name, None, "failed", _short(error)))
+    if done:
+        publish(spark, folder, run, done)
     return spark.createDataFrame(
         status, "mart string, rows bigint, status string, error string"
     )

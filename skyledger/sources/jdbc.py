@@ -68,9 +68,15 @@ class JdbcSource:
         return normalise_columns(reader.load())
 
     def load_tables(
-        self, spark: SparkSession, ticket_split: ReadSplit | None = None
+        self, spark: SparkSession, ticket_split: ReadSplit
     ) -> RawTables:
-        """The raw tables as rows; Spark aggregates them itself."""
+        """The raw tables as rows; Spark aggregates them itself.
+
+        The tickets are always read over several connections: one alone would bring
+        the whole fact through one task.
+        """
+        if ticket_split.partitions < 2:
+            raise ValueError("tickets must be split over at least 2 partitions")
         splits = {"tickets": ticket_split}
         return RawTables(
             **{

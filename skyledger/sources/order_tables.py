@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from skyledger.sources.tables import RawTables
 
-# Fixed value: the order tables have nation keys 0..24 at every scale factor.
-LAST_NATION_KEY = 24
+# Fixed value: codes have two digits for a nation.
+LAST_CODE = 99
 
 # The columns used. Naming them spares a job per table that would infer them.
 ORDER_TABLES = {
@@ -31,7 +31,12 @@ ORDER_TABLES = {
 
 
 def _two_digits(key: str) -> str:
-    return f"lpad(cast({key} as string), 2, '0')"
+    """Key 7 as 07; a key that has no two digits is an error, not another key's code."""
+    refused = f"raise_error(concat('nation key ', cast({key} as string), ' is not in 0..{LAST_CODE}'))"
+    return (
+        f"CASE WHEN {key} IS NULL OR {key} BETWEEN 0 AND {LAST_CODE}"
+        f" THEN lpad(cast({key} as string), 2, '0') ELSE {refused} END"
+    )
 
 
 def _airport_code(nation: str) -> str:
@@ -59,12 +64,14 @@ def _airports(nation: DataFrame, region: DataFrame) -> DataFrame:
 def _routes(nation: DataFrame) -> DataFrame:
     """A route from every nation to every other one.
 
-    Each origin fans out over the fixed range of nation keys, and an equi-join
+    Each origin fans out over the range of nation keys there are, and an equi-join
     keeps the destinations that exist.
     """
-    origins = nation.selectExpr(
-        "n_nationkey AS o", f"explode(sequence(0, {LAST_NATION_KEY})) AS d"
-    )
+    key = F.col("n_nationkey")
+    first = nation.agg(F.greatest(F.min(key), F.lit(0))).scalar()
+    last = nation.agg(F.least(F.max(key), F.lit(LAST_CODE))).scalar()
+    axis = F.when(first <= last, F.sequence(first, last))
+    origins = nation.select(key.alias("o"), F.explode(axis).alias("d"))
     return (
         origins.filter("o <> d")
         .join(nation.selectExpr("n_nationkey AS d"), "d")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,7 +46,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
     A decimal keeps the precision and scale of its source, so no digit is lost;
     a column that already fits is passed through bare, so filters on it still
-    reach the scan.
+    reach the scan. A double becomes a decimal only where it is the same number in
+    both; any other value is an error that names the column.
     """
     df = normalise_columns(df)
     missing = [name for name in schema.names if name not in df.columns]
@@ -57,11 +58,28 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
         present = df.schema[field.name].dataType
         if type(present) is type(field.dataType):
             return F.col(field.name)
+        if isinstance(present, T.FractionalType) and isinstance(field.dataType, T.DecimalType):
+            return _exact_decimal(field, present).alias(field.name)
         return F.col(field.name).cast(field.dataType).alias(field.name)
 
     return df.select(*[column(field) for field in schema.fields])
 
 
+def _exact_decimal(field: T.StructField, present: T.DataType) -> Column:
+    """The values of a floating-point column as decimals that read back equal.
+
+    With the scale of ``field`` and as many digits as a double has.
+    """
+    value = F.col(field.name)
+    kind = T.DecimalType(max(18, field.dataType.precision), field.dataType.scale)
+    exact = value.try_cast(kind)
+    refused = F.concat(
+        F.lit(f"column {field.name}: "), value.cast("string"), F.lit(f" is not a {kind.simpleString()}")
+    )
+    fits = value.isNull() | F.coalesce(exact.cast(present) == value, F.lit(False))
+    return F.when(fits, exact).otherwise(F.raise_error(refused).cast(kind))
+
+
 def load_tables(spark: SparkSession, folder: str) -> RawTables:
     """Tickets, routes and airports as Parquet datasets ``<folder>/<table>.parquet``."""
     return RawTables(

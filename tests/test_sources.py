@@ -64,8 +64,9 @@ def test_missing_marts_are_named(spark, tmp_path):
 
 
 def test_marts_of_another_writer_are_read_by_name(spark, written, tmp_path):
+    ours = sl.read_marts(spark, written)
     for name in MART_COLUMNS:
-        df = spark.read.parquet(f"{written}/{name}.parquet")
+        df = getattr(ours, name)
         df.select(*reversed(df.columns)).toDF(*[c.upper() for c in reversed(df.columns)]).write.parquet(
             f"{tmp_path}/{name}.parquet"
         )
