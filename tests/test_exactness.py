@@ -1,0 +1,178 @@
+"""Digits, keys and files that must come through unchanged."""
+
+from __future__ import annotations
+
+import math
+import struct
+import subprocess
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+import __spark_entry__ as spark_entry
+import skyledger as sl
+from skyledger.plans import export_csv
+from skyledger.sources.tables import conform
+from tests.conftest import AIRPORT_ROWS, ROUTE_ROWS, SMALL, dicts, plan_text, rows
+from tests.test_oracle import connect, ordered
+
+HARD = [1e-18, 5e-324, 1e21, 1.7976931348623157e308, 0.055166458254268434, -1e-5, 0.001, 1e7, 123456789.5, -0.0]
+
+
+@given(st.lists(st.floats(), min_size=1, max_size=30))
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_any_double_reads_back_equal_from_csv(spark, tmp_path_factory, numbers):
+    numbers = [*numbers, *HARD, math.nan, math.inf, -math.inf]
+    path = str(tmp_path_factory.mktemp("csv") / "out")
+    export_csv(spark.createDataFrame(list(enumerate(numbers)), "i int, x double"), path)
+    back = dict(spark.read.schema("i int, x double").option("header", True).csv(path).collect())
+    texts = dict(spark.read.schema("i int, x string").option("header", True).csv(path).collect())
+    for i, x in enumerate(numbers):
+        if math.isnan(x):
+            assert math.isnan(back[i])
+        else:
+            assert struct.pack("d", back[i]) == struct.pack("d", x) or back[i] == x == 0
+            assert math.isinf(x) or "e" not in texts[i].lower()
+
+
+def tables_with_nation(spark, folder, key):
+    """The small order tables with one nation more, and customers in it."""
+    target = str(folder)
+    for name in ("region", "supplier", "orders", "lineitem"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").coalesce(1).write.parquet(f"{target}/{name}.parquet")
+    nation = spark.read.parquet(f"{SMALL}/nation.parquet")
+    more = nation.filter("n_nationkey = 3").withColumns(
+        {"n_nationkey": F.lit(key).cast("int"), "n_name": F.lit(f"NATION_{key}")}
+    )
+    nation.unionByName(more).coalesce(1).write.parquet(f"{target}/nation.parquet")
+    customer = spark.read.parquet(f"{SMALL}/customer.parquet")
+    moved = F.when(F.col("c_custkey") % 10 == 0, F.lit(key).cast("int")).otherwise(F.col("c_nationkey"))
+    customer.withColumn("c_nationkey", moved).coalesce(1).write.parquet(f"{target}/customer.parquet")
+    return target
+
+
+def test_a_nation_more_has_its_routes(spark, tmp_path):
+    folder = tables_with_nation(spark, tmp_path, 25)
+    raw = sl.tables_from_orders(spark, folder)
+    assert raw.routes.count() == 26 * 25
+    assert "CartesianProduct" not in plan_text(raw.routes) and "NestedLoop" not in plan_text(raw.routes)
+    marts = sl.build_marts(raw)
+    sold = {r.route_code for r in sl.top_routes(marts, sl.FilterSpec(top_n=700)).collect()}
+    found = {r.route_code for r in raw.tickets.select("route_code").distinct().collect()}
+    assert {code for code in found if code.endswith("25")} and sold <= found
+    assert {code for code in sold if code.endswith("25")}
+
+
+def test_a_key_without_two_digits_is_refused(spark, tmp_path):
+    raw = sl.tables_from_orders(spark, tables_with_nation(spark, tmp_path, 100))
+    for df in (raw.routes, raw.tickets, raw.airports):
+        with pytest.raises(PySparkException, match="nation key 100"):
+            df.collect()
+
+
+def doubles(spark, amounts):
+    raw = spark.createDataFrame([("AB", "E", a) for a in amounts], "route_code string, class string, total_amount double")
+    none = F.lit(None)
+    return raw.withColumns(
+        {"airport_tax": none.cast("decimal(12,2)"), "local_tax": none.cast("decimal(12,2)"), "departure": none.cast("timestamp_ntz")}
+    )
+
+
+def test_doubles_are_narrowed_only_if_nothing_is_lost(spark):
+    from skyledger.schemas import TICKETS
+
+    total = lambda amounts: rows(conform(doubles(spark, amounts), TICKETS).agg(F.sum("total_amount")))[0][0]
+    assert float(total([0.1, 0.2, None, 12345678901.25])) == 12345678901.55
+    for bad in (0.004, math.nan, math.inf, 1e300):
+        with pytest.raises(PySparkException, match="total_amount"):
+            total([1.0, bad])
+
+
+def test_a_failure_while_writing_keeps_the_mart_before(spark, star, tmp_path):
+    folder = str(tmp_path)
+    good = star([("AB", "E", 1)], ROUTE_ROWS, AIRPORT_ROWS)
+    sl.refresh_marts(spark, good, folder).collect()
+    broken = sl.build_marts(star([("AB", "E", 7)], ROUTE_ROWS, AIRPORT_ROWS))
+
+    def fails():
+        bad = F.raise_error(F.lit("disk gone\nsecond line"))
+        return broken.revenue_by_route_class.withColumn("revenue", bad.cast("decimal(22,2)"))
+
+    status = dicts(
+        sl.refresh_marts(
+            spark,
+            {
+                "routes_with_airports": lambda: broken.routes_with_airports,
+                "revenue_by_route_class": fails,
+                "monthly_revenue": lambda: broken.monthly_revenue,
+            },
+            folder,
+        )
+    )
+    assert [r["status"] for r in status] == ["written", "failed", "written"]
+    assert "\n" not in status[1]["error"]
+    marts = sl.read_marts(spark, folder)
+    assert sl.class_revenue(marts, sl.FilterSpec()).first().revenue == 1.0
+    assert sl.monthly_trend(marts, sl.FilterSpec()).first().revenue == 7.0
+    assert sl.source_stats(marts).first().tickets == 1
+
+
+def test_foreign_marts_with_a_repeated_route_are_refused_on_request(spark, star, tmp_path):
+    folder = str(tmp_path)
+    marts = sl.build_marts(star([("AB", "E", 1)], [*ROUTE_ROWS, ROUTE_ROWS[0]], AIRPORT_ROWS))
+    for name in ("routes_with_airports", "revenue_by_route_class", "monthly_revenue"):
+        getattr(marts, name).write.parquet(f"{folder}/{name}.parquet")
+    assert sl.read_marts(spark, folder).routes_with_airports.count() == 7
+    with pytest.raises(ValueError, match="AB"):
+        sl.read_marts(spark, folder, check_routes=True)
+
+
+def test_stats_take_tickets_from_the_route_mart(spark, star):
+    one = sl.build_marts(star([("AB", "E", 1)], ROUTE_ROWS, AIRPORT_ROWS))
+    two = sl.build_marts(star([("AB", "E", 1)] * 5, ROUTE_ROWS, AIRPORT_ROWS))
+    marts = sl.Marts(
+        {
+            "routes_with_airports": lambda: one.routes_with_airports,
+            "revenue_by_route_class": lambda: two.revenue_by_route_class,
+            "monthly_revenue": lambda: one.monthly_revenue,
+        }
+    )
+    stats = sl.source_stats(marts)
+    assert stats.first().tickets == 5
+    assert "Expand" not in plan_text(stats) and "Generate" not in plan_text(stats)
+
+
+def test_matrix_makes_one_row_per_cell(spark):
+    origins, ends = [f"o{i}" for i in range(40)], [*[f"d{i}" for i in range(39)], None]
+    pairs = [(o, d, float(i * 7 + j)) for i, o in enumerate(origins) for j, d in enumerate(ends) if (i + j) % 3]
+    regions = spark.createDataFrame(pairs, "origin_continent string, dest_continent string, revenue double")
+    cells = sl.region_matrix(regions)
+    found = {(r.origin_continent, r.dest_continent): r.revenue for r in cells.collect()}
+    known = {(o, d): x for o, d, x in pairs}
+    assert found == {(o, d): known.get((o, d), 0.0) for o in origins for d in ends}
+    plan = plan_text(cells)
+    assert plan.count("Generate explode") == plan.count("Generate") and "Join" not in plan
+
+
+def test_jdbc_tickets_must_be_split():
+    source = sl.JdbcSource("jdbc:x:y")
+    with pytest.raises(ValueError, match="at least 2"):
+        source.load_tables(None, sl.ReadSplit("departure", "2020-01-01", "2022-01-01", 1))
+    with pytest.raises(TypeError):
+        source.load_tables(None)
+
+
+def test_revenue_queries_do_without_the_training_data_operators():
+    code = (
+        "import sys; sys.modules['corpus_pipeline'] = None\n"
+        "import __spark_entry__ as e; assert e.llm is None and set(e.queries()) == set(e.oracle_sql())"
+    )
+    subprocess.run(["python", "-c", code], check=True, cwd=spark_entry.__file__.rpartition("/")[0])
+
+
+def test_oracle_helpers_read_all_tables():
+    assert connect(SMALL).execute("SELECT count(*) FROM lineitem").fetchone()[0] > 0
+    assert ordered([(None,), (1,)]) == [(1,), (None,)]
