@@ -1,5 +1,82 @@
-"""DuckDB SQL for the queries that SQL can express."""
+r"""DuckDB SQL for the queries that SQL can express.
+
+Written from the definitions, on the texts themselves: no hashes, no partitions.
+"""
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+_DOCS = """
+docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents)"""
+
+# CRC-32 byte by byte, with its table from the reversed polynomial.
+_CHECKSUM = r"""
+bits AS (
+  SELECT i, list_reduce(list_prepend(i, [0::BIGINT FOR k IN range(8)]),
+                        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM range(256) t(i)),
+crc_table AS (SELECT list(c ORDER BY i) AS entries FROM bits),
+sized AS (
+  SELECT doc_id, octet_length(encode(text)) + 8 AS size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT,
+               [CAST('0x' || h AS BIGINT) FOR h IN regexp_extract_all(hex(encode(text)), '..')]),
+             lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM docs, crc_table)"""
+
+_SHARDING = f"""
+WITH {_DOCS.strip()}, {_CHECKSUM.strip()},
+placed AS (
+  SELECT *, sum(size) OVER w AS until, sum(size) OVER () AS total, row_number() OVER w AS place
+  FROM sized
+  WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING)),
+dealt AS (
+  SELECT *, CAST((2 * until - size) * 24 // (2 * total) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
+       place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt"""
+
+_WORD = r"[^\x20\x09-\x0D]"
+_QUALITY = rf"""
+WITH {_DOCS.strip()},
+split AS (
+  SELECT *, regexp_extract_all(text, '{_WORD}+') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines
+  FROM docs),
+windows AS (
+  SELECT rid, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM split)),
+repeated AS (
+  SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM windows) WHERE n > 1),
+covered AS (
+  SELECT rid, count(DISTINCT p) AS n
+  FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY rid),
+counted AS (
+  SELECT rid, doc_id, source, text, len(words) AS n_words,
+         length(array_to_string(words, '')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM split LEFT JOIN covered USING (rid)),
+common AS (
+  SELECT rid, source, text, unnest(list_filter(list_transform(
+           string_split(regexp_replace(lower(text), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)),
+           lambda x: trim(x, ' ')), lambda x: x <> '')) AS line
+  FROM docs),
+hosts AS (SELECT source, count(DISTINCT text) AS texts FROM docs GROUP BY source),
+removed AS (
+  SELECT c.source, c.line FROM common c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
+  GROUP BY c.source, c.line, h.texts
+  HAVING 100 * count(DISTINCT c.text) > greatest(1000, 2 * h.texts)),
+lost AS (
+  SELECT c.rid, sum(len(string_split(c.line, ' '))) AS n
+  FROM common c JOIN removed r ON c.source IS NOT DISTINCT FROM r.source AND c.line = r.line
+  GROUP BY c.rid),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         coalesce(100 * n > 50 * n_words, false) AS depleted
+  FROM counted LEFT JOIN lost USING (rid))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, depleted,
+       NOT base_failed AND NOT depleted AS kept
+FROM judged"""
+
+ORACLE_SQL: dict[str, str] = {"op8_sharding": _SHARDING, "op10_quality_rules": _QUALITY}
