@@ -20,6 +20,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,8 +176,12 @@ class Ledger:
         return written(found.filter(F.size("spans") > 0), "blob-findings")
 
 
+# Names that no table of documents has.
+HASH, BLOB, FOUND = "__blob_hash", "__blob", "__blob_spans"
+
+
 def redacted(docs: DataFrame, ledger: Ledger, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with each secret replaced by its kind; a column n_chars counts the new text.
+    """``docs`` with each secret replaced by its kind; a number n_chars counts the new text.
 
     Rows whose blob cannot be among the findings, by a bit map of these, pass as they
     are, so only the others meet the findings in a join.
@@ -185,12 +190,12 @@ def redacted(docs: DataFrame, ledger: Ledger, path: str = "doc_id", text: str =
     found = ledger.findings().withColumn("h", F.xxhash64("blob"))
     bits = bit_map(found.select("h"))
     names = docs.columns
-    hashed = docs.withColumn("_h", F.xxhash64(blob_of(text)))
+    hashed = docs.withColumn(HASH, F.xxhash64(blob_of(text)))
 
     def side(wanted: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                there = in_map(batch.column("_h").to_numpy(zero_copy_only=False), bits) == wanted
+                there = in_map(batch.column(HASH).to_numpy(zero_copy_only=False), bits) == wanted
                 yield batch.select(names).filter(pa.array(there))
 
         return hashed.mapInArrow(run, docs.schema)
@@ -200,19 +205,22 @@ def redacted(docs: DataFrame, ledger: Ledger, path: str = "doc_id", text: str =
             texts = [
                 content if spans is None else without(content, spans)
                 for content, spans in zip(
-                    batch.column(text).to_pylist(), batch.column("_spans").to_pylist(), strict=True
+                    batch.column(text).to_pylist(), batch.column(FOUND).to_pylist(), strict=True
                 )
             ]
             out = batch.select(names)
-            yield out.set_column(names.index(text), text, pa.array(texts, pa.string()))
+            out = out.set_column(names.index(text), text, pa.array(texts, pa.string()))
+            if "n_chars" in names:
+                changed = batch.column(FOUND).is_valid()
+                length = pc.utf8_length(out.column(text)).cast(out.schema.field("n_chars").type)
+                counts = pc.if_else(changed, length, out.column("n_chars"))
+                out = out.set_column(names.index("n_chars"), "n_chars", counts)
+            yield out
 
     maybe = side(True)
-    spans = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = maybe.withColumn("_blob", blob_of(text)).join(spans, "_blob", "left")
-    changed = joined.select(*names, "_spans").mapInArrow(replace, docs.schema)
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return side(False).unionByName(changed)
+    spans = found.select(F.col("blob").alias(BLOB), F.col("spans").alias(FOUND))
+    joined = maybe.withColumn(BLOB, blob_of(text)).join(spans, BLOB, "left")
+    return side(False).unionByName(joined.select(*names, FOUND).mapInArrow(replace, docs.schema))
 
 
 def without(text: str, spans: list[dict]) -> str:
