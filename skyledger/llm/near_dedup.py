@@ -50,7 +50,8 @@ from skyledger.llm.words import Texts, chunks, mixed, shingles
 SIMILAR_PERCENT = 75
 R = 3
 M = 21
-BUCKETS = 64
+BUCKETS = 128  # a power of two, as hashes are signed in Spark and not in numpy
+MANY = 32767
 
 _RANDOM = np.random.default_rng(99)
 _FACTORS = _RANDOM.integers(1, 1 << 63, 2 * M * R, dtype=np.uint64) * 2 + 1
@@ -149,7 +150,8 @@ def _buckets(h: np.ndarray) -> np.ndarray:
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, items, b): the sorted shingle hashes of each wanted class, as bytes, and
-    how many are in each bucket."""
+    how many are in each bucket (null for a set of millions: it has no bound by bucket).
+    """
     bits = bit_map(wanted.select(F.col("class").alias("h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +167,14 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     own.append(c)
                     part = h[at[i] : at[i + 1]]
                     items.append(part.tobytes())
-                    counts.append(np.bincount(_buckets(part), minlength=BUCKETS))
+                    count = np.bincount(_buckets(part), minlength=BUCKETS)
+                    counts.append(count if count.max() <= MANY else None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int64()), pa.array(items, pa.binary()), pa.array(counts, pa.list_(pa.int32()))],
+                [pa.array(own, pa.int64()), pa.array(items, pa.binary()), pa.array(counts, pa.list_(pa.int16()))],
                 ["class", "items", "b"],
             )
 
-    found = docs.mapInArrow(run, "class long, items binary, b array<int>").join(wanted, "class", "left_semi")
+    found = docs.mapInArrow(run, "class long, items binary, b array<smallint>").join(wanted, "class", "left_semi")
     return written(found.dropDuplicates(["class"]), "shingle-sets")
 
 
@@ -199,7 +202,7 @@ def _shared_sizes(sets: DataFrame) -> DataFrame:
         .agg(F.sum("c").alias("own"), F.map_from_entries(F.collect_list(F.struct("bucket", "c"))).alias("by"))
     )
     sizes = sets.select("class", F.expr("octet_length(items) div 8").alias("n"), "b").join(own, "class", "left")
-    lower = F.transform("b", lambda x, i: x - F.coalesce(F.try_element_at("by", i).cast("int"), F.lit(0)))
+    lower = F.transform("b", lambda x, i: (x - F.coalesce(F.try_element_at("by", i), F.lit(0))).cast("smallint"))
     sizes = sizes.withColumns({"most": F.col("n") - F.coalesce("own", F.lit(0)), "b": lower})
     possible = 100 * F.col("most") >= SIMILAR_PERCENT * F.col("n")
     return written(sizes.filter(possible).select("class", "n", "most", "b"), "shared-sizes")
@@ -246,7 +249,7 @@ def _pairs_across(
     known = labels.select(F.col("node").alias("class"), "component")
     component = F.coalesce("component", "class").alias("component")
     sizes = written(sizes.join(known, "class", "left").select("class", component, "n", "most", "b"), "component-sizes")
-    rows = tables.select("key", "class").join(sizes, "class")
+    rows = tables.select("key", "class").join(sizes.select("class", "component"), "class")
     rows = written(rows, "table-components")
     mixed_keys = (
         rows.groupBy("key")
@@ -254,14 +257,17 @@ def _pairs_across(
         .filter("_a < _b")
         .select("key")
     )
-    rows = written(rows.join(mixed_keys, "key", "left_semi"), "mixed-tables")
+    rows = rows.join(mixed_keys, "key", "left_semi").join(sizes.drop("component"), "class")
+    rows = written(rows, "mixed-tables")
     # What the members of a component can share at most, each part by itself.
-    highest = F.array(*[F.max(F.get("b", F.lit(k))) for k in range(BUCKETS)])
+    many = F.lit(MANY).cast("smallint")
+    highest = F.array(*[F.max(F.coalesce(F.get("b", F.lit(k)), many)) for k in range(BUCKETS)])
     bounds = sizes.groupBy(F.col("component").alias("other")).agg(
         F.min("n").alias("m"), F.max("most").alias("most_m"), highest.alias("c")
     )
     others = rows.select("key", F.col("component").alias("other")).distinct().join(bounds, "other")
-    cheap, close = F.least("most", "most_m"), _least_of_buckets("b", "c")
+    cheap = F.least("most", "most_m")
+    close = F.coalesce(_least_of_buckets("b", "c"), cheap)
     half = rows.join(written(others, "table-others"), "key").filter(
         (F.col("other") > F.col("component")) & _possible("n", "m", cheap) & _possible("n", "m", close)
     )
