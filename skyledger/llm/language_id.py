@@ -18,16 +18,20 @@ gives no evidence.
 
 ``und`` stands for no known language: grams spread evenly, and no other evidence. A row
 is accepted if it has letters and a known language is the likeliest. Null and empty
-texts are not accepted (language ``und``, posterior 1). Languages with less than
-LEAST_SHARE of the labelled rows are not learnt, which bounds their number; without any
-label every row is ``und``. Repeated rows count as often as they occur; other columns
-than the named are left behind.
+texts are not accepted (language ``und``, posterior 1). Every label with a gram is learnt,
+however few rows have it, so the model has BUCKETS doubles for each label in the table
+and a row two doubles; without any label every row is ``und``. Repeated rows count as
+often as they occur; other columns than the named are left behind.
+
+A language with fewer than LEAST_GRAMS labelled grams is mostly smoothing, and what else
+its host has could outweigh its texts: ``known_languages`` keeps its labelled rows with
+letters whatever is found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,10 @@ from skyledger.llm.words import Texts, chunks, mixed
 
 BUCKETS = 1 << 14
 SATURATION = 100
-LEAST_SHARE = 0.001
+#: A language with fewer labelled grams is too small to reject its labelled rows by.
+LEAST_GRAMS = BUCKETS
+#: Languages whose counts a task holds at a time.
+HELD = 64
 #: Rows that a parent's shares weigh in the smoothing of its children.
 STRENGTH = 5.0
 UND = "und"
@@ -75,10 +82,14 @@ def grams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """log P(bucket | language) with a row for each bucket; the last column is UND."""
+    """log P(bucket | language) with a row for each bucket; the last column is UND.
+
+    ``small`` are the languages with fewer than LEAST_GRAMS labelled grams.
+    """
 
     languages: list[str]
     log_p: np.ndarray
+    small: list[str] = field(default_factory=list)
 
     @property
     def names(self) -> list[str]:
@@ -88,36 +99,50 @@ class Model:
 def train(docs: DataFrame, text: str = "text", label: str = "lang") -> Model:
     """Counts of grams by language over all rows that have a label."""
     rows = docs.select(F.lower(F.col(label)).alias("lang"), F.col(text).alias("text")).dropna()
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    all_rows = sizes.agg(F.sum("n")).first()[0] or 0
-    common = sizes.filter((F.col("n") >= LEAST_SHARE * all_rows) & (F.col("lang") != UND))
-    languages = sorted(r.lang for r in common.collect())
-    place = {lang: k for k, lang in enumerate(languages)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), BUCKETS), np.int64)
-        for part, texts in chunks(batches):
-            lang = np.array([place.get(x, -1) for x in part.column("lang").to_pylist()], np.int64)
-            key, text = grams(texts)
-            own = lang[text] if len(text) else text
-            known = own >= 0
-            flat = own[known] * BUCKETS + key[known]
-            sums += np.bincount(flat, minlength=sums.size).reshape(sums.shape)
-        k, bucket = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(k.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[k, bucket])],
+    def entries(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        buckets = [np.flatnonzero(x) for x in sums.values()]
+        lang = np.repeat(np.arange(len(sums), dtype=np.int32), [len(x) for x in buckets])
+        n = [x[bucket] for x, bucket in zip(sums.values(), buckets, strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(sums), pa.string()).take(pa.array(lang)),
+                pa.array(np.concatenate([*buckets, np.zeros(0)]).astype(np.int32)),
+                pa.array(np.concatenate([*n, np.zeros(0)]).astype(np.int64)),
+            ],
             ["lang", "bucket", "n"],
         )
 
-    counted = rows.mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket")
-    table = counted.agg(F.sum("n").alias("n")).toArrow()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for part, texts in chunks(batches):
+            coded = part.column("lang").dictionary_encode()
+            key, text = grams(texts)
+            own = coded.indices.to_numpy()[text]
+            order = np.argsort(own, kind="stable")
+            key, ends = key[order], np.searchsorted(own[order], np.arange(len(coded.dictionary) + 1))
+            for k, lang in enumerate(coded.dictionary.to_pylist()):
+                if lang not in sums and len(sums) == HELD:
+                    yield entries(sums)
+                    sums = {}
+                counts = np.bincount(key[ends[k] : ends[k + 1]], minlength=BUCKETS)
+                sums[lang] = sums[lang] + counts if lang in sums else counts
+        yield entries(sums)
+
+    counted = rows.filter(F.col("lang") != UND).mapInArrow(run, "lang string, bucket int, n long")
+    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    languages = sorted(found)
+    place = np.array([languages.index(x) for x in found], np.int64)
     sums = np.zeros((BUCKETS, len(languages) + 1))
-    sums[table.column("bucket").to_numpy(), table.column("lang").to_numpy()] = table.column("n").to_numpy()
+    sums[table.column("bucket").to_numpy(), place[coded.indices.to_numpy()]] = table.column("n").to_numpy()
+    small = [lang for lang, n in zip(languages, sums.sum(axis=0), strict=False) if n < LEAST_GRAMS]
     # Half of each distribution is even, so a gram not seen before costs little.
     even = np.full(BUCKETS, 1 / BUCKETS)[:, None]
     shares = 0.5 * sums / np.maximum(sums.sum(axis=0), 1) + 0.5 * even
     shares[:, -1] = 1 / BUCKETS
-    return Model(languages, np.log(shares / shares.sum(axis=0)))
+    return Model(languages, np.log(shares / shares.sum(axis=0)), small)
 
 
 def _known(host: Column) -> Column:
@@ -166,7 +191,9 @@ def _text_scores(rows: DataFrame, model: Model) -> DataFrame:
             key, text = grams(texts)
             n = np.bincount(text, minlength=part.num_rows)
             logs = np.stack(
-                [np.bincount(text, column[key], part.num_rows) for column in model.log_p.T], axis=1
+                [np.bincount(text, column[key], part.num_rows) for column in model.log_p.T],
+                axis=1,
+                dtype=float,  # without any gram bincount gives integers
             )
             logs /= (1 + n / SATURATION)[:, None]
             logs -= logs.max(axis=1, keepdims=True)
@@ -266,16 +293,22 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def known_languages(docs: DataFrame, model: Model, text: str = "text", source: str = "source") -> DataFrame:
+def known_languages(
+    docs: DataFrame, model: Model, text: str = "text", source: str = "source", label: str = "lang"
+) -> DataFrame:
     """The rows of ``docs`` that are accepted, with all their columns.
 
     A decision depends on text and source, so the few that are not accepted are taken
-    out by these; a copy in the same source goes the same way.
+    out by these; a copy in the same source goes the same way. A row with grams and a
+    label of ``model.small`` stays.
     """
     found = identify(of_documents(docs.withColumn("_id", F.lit(None)), "_id", text, source), model)
-    bad = written(found.filter(~F.col("accepted")).select("key", "host").distinct(), "rejected-texts")
+    bad = found.filter(~F.col("accepted")).select("key", "host", F.col("n_grams") > 0).distinct()
+    bad = written(bad.toDF("_bad_key", "_bad_host", "_bad_grams"), "rejected-texts")
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     host = F.concat(F.lit("source "), _known(F.col(source)))
-    bad = bad.toDF("_bad_key", "_bad_host")
     on = (key == F.col("_bad_key")) & host.eqNullSafe(F.col("_bad_host"))
+    if model.small and label in docs.columns:
+        small = F.coalesce(F.lower(F.col(label)).isin(model.small), F.lit(False))
+        on &= ~(F.col("_bad_grams") & small)
     return docs.join(bad, on, "left_anti")

@@ -123,3 +123,33 @@ def test_odd_rows(spark, odd, empty):
     nothing = li.train(empty.withColumn("lang", F.lit(None).cast("string")))
     assert nothing.languages == []
     assert li.known_languages(odd, nothing).count() == 0
+
+
+def test_rare_languages_are_learnt_and_kept(spark, monkeypatch):
+    greek = "\u03b7 \u03b3\u03bb\u03ce\u03c3\u03c3\u03b1 \u03c4\u03c9\u03bd \u03ba\u03b5\u03b9\u03bc\u03ad\u03bd\u03c9\u03bd \u03b5\u03af\u03bd\u03b1\u03b9 \u03b5\u03b4\u03ce \u03b5\u03bb\u03bb\u03b7\u03bd\u03b9\u03ba\u03ae "
+    draw = np.random.default_rng(3)
+    vocabulary = ["the", "house", "and", "river", "stands", "with", "water", "under", "stone"]
+    rows = [(i, " ".join(draw.choice(vocabulary, 30)), "en", "a") for i in range(6000)]
+    rows += [(10000 + i, greek * 3 + str(i), "el", "a") for i in range(3)]
+    rows += [(20000 + i, f"{word} only", f"x{i}", "a") for i, word in enumerate(["qzkw", "vvjy"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    for held in (li.HELD, 1):  # counts at once, and sent on one by one
+        monkeypatch.setattr(li, "HELD", held)
+        model = li.train(docs)
+        assert model.languages == ["el", "en", "x0", "x1"] and model.small == ["el", "x0", "x1"]
+        counts = Counter(sum((brute_grams(t) for _, t, lang, _ in rows if lang == "el"), []))
+        total = sum(counts.values())
+        for bucket, n in counts.items():
+            assert model.log_p[bucket, 0] == pytest.approx(math.log(0.5 * n / total + 0.5 / li.BUCKETS))
+    found = {r.doc_id: r.language for r in li.identify(li.of_documents(docs), model).collect()}
+    assert {found[10000 + i] for i in range(3)} == {"el"} and found[0] == "en"
+    assert li.known_languages(docs, model).count() == len(rows)
+
+
+def test_labelled_rows_of_small_languages_stay_whatever_is_found(spark):
+    even = li.Model(["en", "xx"], np.full((li.BUCKETS, 3), -math.log(li.BUCKETS)), ["xx"])
+    even.log_p[:, :2] -= 20
+    rows = [(1, "some words here", "XX"), (2, "some words here", "en"), (3, "12", "xx"), (4, "other words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'a' as source")
+    assert [r.doc_id for r in li.known_languages(docs, even).collect()] == [1]
+    assert li.known_languages(docs.drop("lang"), even).count() == 0
