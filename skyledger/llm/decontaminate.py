@@ -7,10 +7,14 @@ bits, each the sign of a sum over its shingles; sliding sums give it at every pl
 
 Fingerprints of items are indexed in blocks of 8 bits. Within RADIUS bits in all, some
 block differs in at most RADIUS // BLOCKS bits, so looking up every block with that
-tolerance finds all fingerprints within the radius, without exception. At a weighted
-similarity of 0.75, fingerprints differ in 44 bits on average with a deviation of 6;
-RADIUS is three deviations above. Each candidate is then compared shingle by shingle
-with its weights: shared weight over joint weight, at least 0.75.
+tolerance finds all fingerprints within the radius, without exception. Each candidate is
+then compared shingle by shingle with its weights: shared weight over joint weight, at
+least 0.75.
+
+Between windows of different shingles at a similarity of 0.75, fingerprints differ in 44
+bits on average with a deviation of 6; RADIUS is three deviations above. One shingle that
+is repeated often shifts many more. So no pair rests on the radius: each item that has
+enough shingles in a document is also counted exactly over all its windows there.
 
 A window without any shingle of an item has similarity 0 with it. So windows are made
 only around shingles that occur in some item, which loses nothing and leaves most
@@ -101,7 +105,10 @@ class Index:
         h = np.concatenate(items)
         owner = np.repeat(np.arange(len(items)), self.sizes)
         order = np.argsort(h, kind="stable")
-        self.shingles, self.owner = h[order], owner[order]
+        h, owner = h[order], owner[order]
+        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))
+        # Each shingle of each item, and how often it occurs there.
+        self.shingles, self.owner, self.weight = h[new], owner[new], np.diff(np.append(new, len(h)))
         self.shift = np.uint64(64 - min(24, max(16, int(len(h)).bit_length() + 4)))
         self.filter = np.zeros(1 << (64 - int(self.shift)), bool)
         self.filter[self.shingles >> self.shift] = True
@@ -122,7 +129,8 @@ class Index:
         high = np.searchsorted(self.shingles, h[anchors], "right")
         many = high - low
         step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        touched = self.owner[np.repeat(low, many) + step]
+        entry = np.repeat(low, many) + step
+        touched = self.owner[entry]
         best: dict[int, Hit] = {}
         for size in np.unique(self.sizes[touched]):
             length = min(int(size), len(h))
@@ -134,8 +142,43 @@ class Index:
             starts = starts[starts <= len(h) - length]
             for i in range(0, len(starts), _WINDOWS):
                 self._compare(row, h, starts[i : i + _WINDOWS], length, int(size), best)
+        self._count(row, len(h), entry, np.repeat(anchors, many), best)
         yield from best.values()
 
+    def _count(self, row: int, n: int, entry, place, best: dict[int, Hit]) -> None:
+        """The best window of each item by exact sliding counts of shared weight.
+
+        A shingle of weight w at a place counts in the windows that reach it and begin after
+        the w-th of its places before: there it is among the first w.
+        """
+        order = np.argsort(entry, kind="stable")
+        entry, place = entry[order], place[order]
+        first = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
+        times = np.diff(np.append(first, len(entry)))
+        back = np.arange(len(entry)) - self.weight[entry]
+        earlier = np.where(back >= np.repeat(first, times), place[np.maximum(back, 0)], -1)
+        items, which = np.unique(self.owner[entry[first]], return_inverse=True)
+        most = np.bincount(which, np.minimum(times, self.weight[entry[first]]))
+        sizes = self.sizes[items]
+        lengths = np.minimum(sizes, n)
+        enough = (100 + SIMILAR_PERCENT) * most >= SIMILAR_PERCENT * (sizes + lengths)
+        which = np.repeat(which, times)
+        for k in np.flatnonzero(enough):
+            item, size, length = int(items[k]), int(sizes[k]), int(lengths[k])
+            own = which == k
+            begin = np.maximum(np.maximum(earlier[own] + 1, place[own] - length + 1), 0)
+            end = np.minimum(place[own], n - length) + 1
+            there = begin < end
+            counts = np.zeros(n - length + 2, np.int64)
+            np.add.at(counts, begin[there], 1)
+            np.add.at(counts, end[there], -1)
+            counts = np.cumsum(counts)
+            s = int(counts.argmax())
+            shared = int(counts[s])
+            joint = length + size - shared
+            if 100 * shared >= SIMILAR_PERCENT * joint:
+                best[item] = Hit(row, item, shared / joint, s)
+
     def _compare(self, row, h, starts, length, size, best: dict[int, Hit]) -> None:
         base, to = starts[0], starts[-1] + length
         prints = fingerprints(h[base:to], starts - base, length)

@@ -104,3 +104,20 @@ def test_odd_rows(spark, odd, empty):
     assert decontaminate.leaks(empty, bench).count() == 0
     assert decontaminate.leaks(odd, bench.limit(0)).count() == 0
     assert decontaminate.without_leaks(odd, bench.limit(0)).count() == odd.count()
+
+
+def test_cut_passages_before_repeated_words_against_brute_force(spark):
+    draw = random.Random(5)
+    items = [(i, [f"w{draw.randrange(4000)}" for _ in range(204)]) for i in range(30)]
+    items += [(30 + i, w[:100] + ["again", "and"] * 40) for i, w in items[:10]]
+    docs = []
+    for i, words in items:
+        for filler in (["junk"], ["a", "b", "c", "d", "e"]):
+            docs.append((len(docs), " ".join(words[: 176 if i < 30 else 160] + filler * (200 // len(filler)))))
+    docs += [(1000, "again and " * 300), (1001, " ".join(items[0][1][:170]))]
+    items = [(i, " ".join(w)) for i, w in items]
+    wanted = expected(docs, items)
+    assert len(wanted) >= 60
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string").repartition(4)
+    rows = decontaminate.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in rows} == wanted
