@@ -5,6 +5,8 @@ repeated three-word windows. Across documents: each line is normalised (lower ca
 white space squeezed) and hashed; the documents of a host that have it are counted,
 documents with equal text once; a line in more than ``LineLimits`` allows is removed
 from that host, and a document is depleted when over half of its words go.
+``removed_lines`` finds these lines, ``without_lines`` takes them out of the texts, and
+``depleted_documents`` derives its verdicts from the same lines.
 
 Lines are counted in two steps. The first counts rows per host and line, which map-side
 sums keep small however common a line is; only lines over the lower limit go on, and of
@@ -114,12 +116,12 @@ def normalised_lines(docs: DataFrame, host: str, text: str) -> DataFrame:
     )
 
 
-def depleted_documents(
-    docs: DataFrame, sizes: DataFrame, host: str, text: str = "text", limits: LineLimits = LineLimits()
+def _line_texts(
+    docs: DataFrame, texts: DataFrame, host: str, text: str, limits: LineLimits
 ) -> DataFrame:
-    """(_host, _text_key) of each document that loses too many words.
+    """Lines that may be removed, by host and different text, with the words they hold there.
 
-    ``sizes`` has _host, _text_key and n_words of every document.
+    ``texts`` has _host and _text_key of every document.
     """
     lines = normalised_lines(docs, host, text)
     hashes = F.array_distinct(F.transform("_lines", lambda line: F.xxhash64(line)))
@@ -130,7 +132,7 @@ def depleted_documents(
         .filter(F.col("_rows") > limits.documents)
     )
     hosts = (
-        sizes.select("_host", "_text_key").distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
+        texts.select("_host", "_text_key").distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
     )
     limit = F.greatest(
         F.lit(limits.documents) * 100, F.col("_texts") * limits.percent_of_host
@@ -150,19 +152,77 @@ def depleted_documents(
         F.size(F.split("_text", " ")).alias("_n"),
     )
     on = (F.col("e._host").eqNullSafe(F.col("c._host"))) & (F.col("e._line") == F.col("c._line"))
-    found = written(
+    return written(
         exploded.alias("e")
         .join(common.alias("c"), on)
         .groupBy("e._host", "e._text_key", "e._line", "_limit")
         .agg(F.sum("_n").alias("_n"), F.count("*").alias("_times")),
         "common-line-texts",
     )
-    removed = (
+
+
+def _over_limits(found: DataFrame) -> DataFrame:
+    """(_host, _line) of the lines of _line_texts that more texts have than the limit."""
+    return (
         found.groupBy("_host", "_line", "_limit")
         .agg(F.count("*").alias("_texts"))
         .filter(100 * F.col("_texts") > F.col("_limit"))
         .select("_host", "_line")
     )
+
+
+def removed_lines(
+    docs: DataFrame, host: str = "source", text: str = "text", limits: LineLimits = LineLimits()
+) -> DataFrame:
+    """(_host, _line): each line that is removed in a host, as the hash of its normal form."""
+    texts = docs.select(
+        F.col(host).alias("_host"),
+        F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("_text_key"),
+    )
+    return written(_over_limits(_line_texts(docs, texts, host, text, limits)), "removed-lines")
+
+
+def without_lines(
+    docs: DataFrame, removed: DataFrame, host: str = "source", text: str = "text"
+) -> DataFrame:
+    """``docs`` with all rows and columns, each text without the ``removed`` lines of its host.
+
+    Only texts that have such a line are rebuilt, each different one of a host once, from
+    its other lines in their order. The rest, null ones too, are as they were. Other
+    columns that depend on the text are not changed.
+    """
+    content = F.coalesce(F.col(text), F.lit(""))
+    key = F.unhex(F.md5(content.cast("binary")))
+    # Places of lines as in normalised_lines(): the same breaks, none left out.
+    squeezed = F.regexp_replace(F.lower(content), BLANK_IN_LINE + "+", " ")
+    hashes = F.transform(F.split(squeezed, "\n"), lambda line: F.xxhash64(F.btrim(line)))
+    places = docs.select(
+        F.col(host).alias("_host"), key.alias("_text_key"), F.posexplode(hashes).alias("_at", "_line")
+    )
+    on = F.col("p._host").eqNullSafe(F.col("g._host")) & (F.col("p._line") == F.col("g._line"))
+    gone = written(
+        places.alias("p")
+        .join(removed.alias("g"), on, "left_semi")
+        .groupBy("_host", "_text_key")
+        .agg(F.collect_set("_at").alias("_gone"))
+        .toDF("_gone_host", "_gone_key", "_gone"),
+        "removed-places",
+    )
+    lines = F.filter(F.split(content, "\n"), lambda line, i: ~F.array_contains("_gone", i))
+    rebuilt = F.when(F.col("_gone").isNotNull(), F.array_join(lines, "\n")).otherwise(F.col(text))
+    on = F.col(host).eqNullSafe(F.col("_gone_host")) & (key == F.col("_gone_key"))
+    return docs.join(gone, on, "left").select(*[rebuilt.alias(c) if c == text else F.col(c) for c in docs.columns])
+
+
+def depleted_documents(
+    docs: DataFrame, sizes: DataFrame, host: str, text: str = "text", limits: LineLimits = LineLimits()
+) -> DataFrame:
+    """(_host, _text_key) of each document that loses too many words.
+
+    ``sizes`` has _host, _text_key and n_words of every document.
+    """
+    found = _line_texts(docs, sizes, host, text, limits)
+    removed = _over_limits(found)
     on = (F.col("f._host").eqNullSafe(F.col("g._host"))) & (F.col("f._line") == F.col("g._line"))
     lost = (
         found.alias("f")

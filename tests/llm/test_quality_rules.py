@@ -84,3 +84,35 @@ def test_odd_rows(odd, empty):
     ]
     assert sorted(map(str, found)) == wanted
     assert quality_rules.judge(empty).count() == 0
+
+
+def removed(docs, limits) -> dict:
+    """The text of each row without the lines that are over the limits of its host."""
+    texts, lines = defaultdict(set), defaultdict(set)
+    normal = lambda line: " ".join(WORD.findall(line.lower()))
+    for _, text, host in docs:
+        texts[host].add(text or "")
+        for line in (text or "").split("\n"):
+            lines[host, normal(line)].add(text or "")
+    out = {}
+    for i, text, host in docs:
+        most = max(limits.documents, limits.percent_of_host * len(texts[host]) / 100)
+        gone = lambda line: normal(line) and len(lines[host, normal(line)]) > most  # noqa: E731, B023
+        out[i] = None if text is None else "\n".join(x for x in text.split("\n") if not gone(x))
+    return out
+
+
+def test_removed_lines_leave_the_texts(spark, odd):
+    docs = [(i, f"Home  | About\n\nown {i}\n HOME | about \nlast {i}\r\n", "x") for i in range(6)]
+    docs += [(10 + i, "Home | About", "x") for i in range(3)]  # nothing is left
+    docs += [(20 + i, "Home | About\nsame", "y") for i in range(9)]  # one text, many copies
+    docs += [(30 + i, f"first {i}\nHome | About", None) for i in range(4)]
+    docs += [(40, None, "x"), (41, "", "x"), (42, "nothing common\n\n", "x")]
+    limits = quality_rules.LineLimits(2, 1)
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    rows = quality_rules.without_lines(df, quality_rules.removed_lines(df, limits=limits))
+    assert rows.schema == df.schema
+    assert {r.doc_id: r.text for r in rows.collect()} == removed(docs, limits)
+    assert removed(docs, limits)[0] == "\nown 0\nlast 0\r\n" and rows.count() == len(docs)
+    same = quality_rules.without_lines(odd, quality_rules.removed_lines(odd))
+    assert same.columns == odd.columns and sorted(map(str, same.collect())) == sorted(map(str, odd.collect()))
