@@ -15,8 +15,10 @@ from skyledger.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    resampling,
     secrets,
     sharding,
+    vector_codes,
 )
 from skyledger.llm.store import small_batches
 from skyledger.plans import scratch_folder
@@ -111,3 +113,13 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
+
+
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    drawn = resampling.resample(docs, benchmark, percent=10, least_words=20, salt="2024")
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")

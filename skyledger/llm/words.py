@@ -1,13 +1,16 @@
 """Words and shingles of Arrow text batches, as numpy arrays.
 
-A word is a run of bytes other than space and 0x09 to 0x0D. Hashes are 64-bit: a
-polynomial over a fixed random table of byte values, mixed at the end, so equal words
-have equal hashes in every task, and different words differ but for one pair in 2^64.
+A word is a run of bytes other than space and 0x09 to 0x0D. Hashes are 64-bit, so equal
+words have equal hashes in every task, and different words differ but for one pair in
+2^64: up to SHORT bytes a polynomial over a fixed random table of byte values, mixed at
+the end; beyond that BLAKE2b, as long words of few letters can be made for which every
+polynomial modulo 2^64 is equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -16,6 +19,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are held as numpy arrays at a time; one longer text is taken whole.
 CHUNK = 1 << 20
+#: Longest span, in bytes, that is hashed by a polynomial.
+SHORT = 32
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -55,9 +60,10 @@ class Texts(NamedTuple):
     bytes: np.ndarray
     at: np.ndarray
 
-    def words(self) -> Words:
+    def words(self, of: np.ndarray = ~_SPACE) -> Words:
+        """Runs of the bytes for which ``of`` (an entry for each value) is true."""
         b, at = self.bytes, self.at
-        word = ~_SPACE[b]
+        word = of[b]
         starts, ends = word.copy(), word.copy()
         starts[1:] &= ~word[:-1]
         ends[:-1] &= ~word[1:]
@@ -96,6 +102,10 @@ def span_hashes(
         s, e = starts[i:j] - base, ends[i:j] - base
         out[i:j] = mixed((sums[e] - sums[s]) * _powers(_INVERSE, to - base)[s])
         i = j
+    for i in np.flatnonzero(ends - starts > SHORT):
+        own = b[starts[i] : ends[i]]
+        own = (_LOWER[own] if lower else own).tobytes()
+        out[i] = int.from_bytes(blake2b(own, digest_size=8).digest(), "little")
     return out
 
 

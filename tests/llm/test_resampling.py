@@ -1,0 +1,118 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from skyledger.llm import queries, resampling
+from skyledger.llm.words import Texts
+from tests.conftest import MEDIUM, SMALL
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def buckets(text, runs=1):
+    words = WORD.findall((text or "").translate(LOWER))
+    found = [" ".join(words[i : i + k]) for k in range(1, runs + 1) for i in range(len(words) - k + 1)]
+    return [zlib.crc32(x.encode()) % 10_000 for x in found], len(words)
+
+
+def brute_force(docs, target, percent=10, least=20, salt="2024", runs=1):
+    s, t = Counter(), Counter()
+    for _, text in docs:
+        s.update(buckets(text, runs)[0])
+    for text in target:
+        t.update(buckets(text, runs)[0])
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = [
+        math.floor(1000 * math.log((t[b] + 1) * (all_s + 10_000) / ((s[b] + 1) * (all_t + 10_000))))
+        for b in range(10_000)
+    ]
+    out = []
+    for i, text in docs:
+        own, n_words = buckets(text, runs)
+        weight = sum(gain[b] for b in own) // len(own) if own else 0
+        h = int(hashlib.sha256(f"{salt}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out.append([i, len(own), weight, score, n_words])
+    able = sorted((r for r in out if r[4] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    ranks = {id(r): k for k, r in enumerate(able[: percent * len(able) // 100], 1)}
+    return [(*r[:4], ranks.get(id(r))) for r in out]
+
+
+def ordered(rows):
+    return sorted((tuple(r) for r in rows), key=str)
+
+
+def test_whole_tables_against_brute_force(spark):
+    for folder in (SMALL, MEDIUM):
+        docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+        target = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+        found = queries.op13_importance_resampling(spark, folder).collect()
+        assert ordered(found) == ordered(brute_force(docs, target))
+
+
+def test_runs_of_two_words(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([("some OTHER words--of_2 parts",)], "text string")
+    found = resampling.resample(df, target, 7, 5, "x", runs=2).collect()
+    assert ordered(found) == ordered(brute_force(docs, ["some OTHER words--of_2 parts"], 7, 5, "x", 2))
+
+
+def test_checksums_of_spans_of_all_lengths():
+    draw = random.Random(1)
+    spans = [draw.randbytes(n) for n in [*range(120), 500, 48, 49, 50]]
+    b = np.frombuffer(b"".join(spans), np.uint8)
+    ends = np.cumsum([len(x) for x in spans])
+    starts = ends - [len(x) for x in spans]
+    assert resampling.checksums(b, starts, ends).tolist() == [zlib.crc32(x) for x in spans]
+
+
+def test_words_end_with_their_text():
+    texts = [b"one two", b"three", b"", b"four.five"]
+    at = np.cumsum([0, *map(len, texts)])
+    bucket, begins, n = resampling.features(Texts(np.frombuffer(b"".join(texts), np.uint8), at), 2)
+    assert n.tolist() == [2, 1, 0, 2] and np.diff(begins).tolist() == [3, 1, 0, 3]
+
+
+def test_cutoff_is_exact_whatever_the_partitions_hold(spark):
+    draw = random.Random(2)
+    for keys in (
+        [(draw.randrange(50), draw.randrange(1000)) for _ in range(3000)],
+        [(7, 3)] * 500 + [(draw.randrange(9), i) for i in range(400)],
+        [(1, 1)],
+    ):
+        df = spark.createDataFrame(keys, "score long, last long").repartition(7)
+        sorted_keys = sorted(keys, key=lambda k: (-k[0], k[1]))
+        for wanted in {1, 2, len(keys) // 10 + 1, len(keys) // 2 + 1, len(keys)}:
+            if wanted <= len(keys):
+                assert resampling.cutoff(df, wanted) == sorted_keys[wanted - 1]
+    assert resampling.cutoff(df, 0) is None and resampling.cutoff(df.limit(0), 1) is None
+
+
+def test_odd_rows(spark, odd, empty):
+    target = spark.createDataFrame([("one two",), (None,)], "text string")
+    rows = resampling.resample(odd, target, 50, 4, "2024").collect()
+    docs = [(r.doc_id, r.text) for r in odd.collect()]
+    wanted = brute_force(docs, ["one two", None], 50, 4)
+    assert ordered(r[:4] for r in rows) == ordered(r[:4] for r in wanted)
+    ranks = sorted(r.rank for r in rows if r.rank)
+    assert ranks == list(range(1, len(ranks) + 1)) == sorted(r[4] for r in wanted if r[4])
+    assert resampling.resample(empty, target, 10, 20, "2024").count() == 0
+    again = resampling.resample(odd, target.limit(0), 10, 1, "2024").collect()
+    assert len(again) == odd.count()
+
+
+def test_equal_keys_are_drawn_to_the_wanted_number(spark):
+    rows = [(5, "w " * 30)] * 100 + [(i, "other words " * 20) for i in range(100, 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    target = spark.createDataFrame([("w",)], "text string")
+    found = resampling.resample(df, target, 10, 20, "2024").collect()
+    assert sorted(r.rank for r in found if r.rank) == list(range(1, 16))
