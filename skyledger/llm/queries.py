@@ -18,6 +18,7 @@ from skyledger.llm import (
     resampling,
     secrets,
     sharding,
+    suffix_dedup,
     vector_codes,
 )
 from skyledger.llm.store import small_batches
@@ -119,6 +120,18 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vector_codes.compress(table(spark, folder, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     drawn = resampling.resample(docs, benchmark, percent=10, least_words=20, salt="2024")

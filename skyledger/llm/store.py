@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyledger.plans import scratch_folder
 
+#: Row groups of such tables: a task that writes or reads one holds it in memory.
+ROW_GROUP = 16 << 20
+
+
+def written_at(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """``df`` as written to a new folder beside the checkpoints, and that folder."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, name)
+    df.write.option("parquet.block.size", ROW_GROUP).option("compression", compression).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as written to a new folder beside the checkpoints.
@@ -13,10 +24,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     All executors share that folder (``spark.checkpoint.dir``), so what is read from
     it does not depend on any executor that computed it.
     """
-    spark = df.sparkSession
-    path = scratch_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written_at(df, name, "snappy")[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``written_at`` that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small_batches(spark: SparkSession) -> None:
