@@ -1,7 +1,8 @@
 """Command line, for spark-submit or ``python -m skyledger``.
 
-    refresh --tables DIR --marts DIR
+    refresh --tables DIR --marts DIR [--new-files | --rejects DIR]
     refresh --jdbc-url URL --schema S --option user=U --option-env password=VAR --marts DIR
+    clear --marts DIR --keep 2 --hours 24
     report --marts DIR --out DIR --cabin Economy --continent ASIA --year 1998 --top-n 10
 """
 
@@ -38,6 +39,17 @@ def _parser() -> argparse.ArgumentParser:
         help="JDBC reader option whose value is in an environment variable",
     )
 
+    how = refresh.add_mutually_exclusive_group()
+    how.add_argument(
+        "--new-files", action="store_true", help="read only ticket files that no refresh has read yet"
+    )
+    how.add_argument("--rejects", help="folder to write rows to that do not fit, instead of failing")
+
+    clear = commands.add_parser("clear", help="delete runs that are not published any more")
+    clear.add_argument("--marts", required=True, help="folder with the marts")
+    clear.add_argument("--keep", type=int, default=2, help="publications whose runs stay")
+    clear.add_argument("--hours", type=float, default=24.0, help="what is younger stays")
+
     report = commands.add_parser("report", help="write the answers of one filter set as CSV")
     report.add_argument("--marts", required=True, help="folder with the marts")
     report.add_argument("--out", required=True, help="folder to write the files to")
@@ -56,12 +68,28 @@ def _jdbc_source(args: argparse.Namespace) -> sl.JdbcSource:
     return sl.JdbcSource(args.jdbc_url, args.schema, options)
 
 
+def _source(spark: SparkSession, args: argparse.Namespace):
+    if not args.tables:
+        return sl.builders_in_database(spark, _jdbc_source(args))
+    if not args.rejects:
+        return sl.load_tables(spark, args.tables)
+    tables, rejects = sl.load_checked_tables(spark, args.tables)
+    rejects.write.parquet(args.rejects)
+    sl.reject_counts(spark.read.schema(rejects.schema).parquet(args.rejects)).show(truncate=False)
+    return tables
+
+
+def _clear(spark: SparkSession, args: argparse.Namespace) -> int:
+    for path in sl.clear_old_runs(spark, args.marts, args.keep, args.hours):
+        print(path)
+    return 0
+
+
 def _refresh(spark: SparkSession, args: argparse.Namespace) -> int:
-    if args.tables:
-        source = sl.load_tables(spark, args.tables)
+    if args.new_files:
+        status = sl.refresh_new_files(spark, args.tables, args.marts)
     else:
-        source = sl.builders_in_database(spark, _jdbc_source(args))
-    status = sl.refresh_marts(spark, source, args.marts)
+        status = sl.refresh_marts(spark, _source(spark, args), args.marts)
     status.show(truncate=False)
     return int(status.filter("status <> 'written'").count() > 0)
 
@@ -77,9 +105,12 @@ def _report(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = _parser().parse_args(argv)
+    parser = _parser()
+    args = parser.parse_args(argv)
+    if args.command == "refresh" and not args.tables and (args.new_files or args.rejects):
+        parser.error("--new-files and --rejects go with --tables")
     session = spark or sl.build_session()
-    return {"refresh": _refresh, "report": _report}[args.command](session, args)
+    return {"refresh": _refresh, "clear": _clear, "report": _report}[args.command](session, args)
 
 
 if __name__ == "__main__":

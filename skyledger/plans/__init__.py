@@ -1,6 +1,7 @@
 """Whole jobs: refreshing the marts, answering a report, exporting it."""
 
-from skyledger.plans.export import export_csv, export_report
+from skyledger.plans.export import export_csv, export_csv_file, export_report
+from skyledger.plans.incremental import refresh_new_files
 from skyledger.plans.materialise import materialise, scratch_folder
 from skyledger.plans.pushdown import builders_in_database
 from skyledger.plans.refresh import refresh_marts
@@ -11,9 +12,11 @@ __all__ = [
     "DuplicateRouteError",
     "builders_in_database",
     "export_csv",
+    "export_csv_file",
     "export_report",
     "materialise",
     "refresh_marts",
+    "refresh_new_files",
     "run_report",
     "scratch_folder",
 ]

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyledger.plans.together import Failed, together
+from skyledger.sources import files
+
 # The answers offered for download, and the name of each file.
 EXPORTS = {
     "top_routes": "top_routes.csv",
@@ -61,15 +66,33 @@ def export_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def export_csv_file(df: DataFrame, path: str) -> None:
+    """Write a small ``df`` as one CSV file of the name ``path``.
+
+    One task writes it to a hidden folder beside ``path``; only when it is whole does it
+    take the name, in one step, in place of what had it. A failure leaves that as it was.
+    """
+    spark = df.sparkSession
+    folder, _, name = path.rpartition("/")
+    hidden = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    try:
+        export_csv(df.coalesce(1), hidden)
+        (part,) = [e.name for e in files.entries(spark, hidden) if e.name.startswith("part-")]
+        files.move_over(spark, f"{hidden}/{part}", path)
+    finally:
+        files.remove(spark, hidden)
+
+
 def export_report(answers: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
     """The downloadable answers, one file each, under ``folder``; returns the paths.
 
-    One task writes each: the answers have a row per ranked route, calendar
-    month, airport or pair of continents.
+    The files are written at the same time, each by one task: the answers have a row per
+    ranked route, calendar month, airport or pair of continents. If some fail, the others
+    are there, and the first failure is raised.
     """
-    written = {}
-    for answer, file_name in EXPORTS.items():
-        path = f"{folder}/{file_name}"
-        export_csv(answers[answer].coalesce(1), path)
-        written[answer] = path
-    return written
+    paths = {answer: f"{folder}/{file_name}" for answer, file_name in EXPORTS.items()}
+    jobs = {answer: partial(export_csv_file, answers[answer], path) for answer, path in paths.items()}
+    for result in together(answers["top_routes"].sparkSession, jobs).values():
+        if isinstance(result, Failed):
+            raise result.cause
+    return paths

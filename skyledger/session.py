@@ -20,6 +20,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128m",
+    # Jobs that a refresh or a report submits together share the cores.
+    "spark.scheduler.mode": "FAIR",
     # Hash instead of sort where every build partition turned out this small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }

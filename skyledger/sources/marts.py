@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 from functools import cached_property, partial
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.schemas import MART_COLUMNS
+from skyledger.sources.publications import latest
 from skyledger.sources.tables import normalise_columns
 
 
@@ -75,26 +76,6 @@ def check_unique_routes(routes: DataFrame) -> None:
         raise DuplicateRouteError(f"route_code is not unique, for example {examples}")
 
 
-PUBLISHED = "mart string, run string, number bigint"
-
-
-def _published(spark: SparkSession, folder: str) -> list[Row]:
-    """A row for each mart that a run published; few and small, so read at once."""
-    try:
-        return spark.read.schema(PUBLISHED).parquet(f"{folder}/published").collect()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
-
-
-def publish(spark: SparkSession, folder: str, run: str, names: Sequence[str]) -> None:
-    """Make the marts of ``run`` the ones to read, by adding one file."""
-    number = max((row.number for row in _published(spark, folder)), default=0) + 1
-    rows = spark.createDataFrame([(name, run, number) for name in names], PUBLISHED)
-    rows.coalesce(1).write.mode("append").parquet(f"{folder}/published")
-
-
 def read_marts(spark: SparkSession, folder: str, check_routes: bool = False) -> Marts:
     """Marts last published by ``refresh_marts``, or one Parquet file per mart.
 
@@ -102,10 +83,10 @@ def read_marts(spark: SparkSession, folder: str, check_routes: bool = False) ->
     ``check_routes`` refuses marts of another writer in which a route code stands for
     two routes, whose revenue would be counted twice.
     """
-    latest = {row.mart: row.run for row in sorted(_published(spark, folder), key=lambda r: r.number)}
+    runs = latest(spark, folder).marts
 
     def read(name: str) -> DataFrame:
-        path = mart_path(f"{folder}/{latest[name]}" if name in latest else folder, name)
+        path = mart_path(f"{folder}/{runs[name]}" if name in runs else folder, name)
         try:
             found = spark.read.parquet(path)
         except AnalysisException as error:

@@ -145,4 +145,5 @@ def tables_from_orders(spark: SparkSession, folder: str) -> RawTables:
         tickets=_tickets(read["lineitem"], read["orders"], read["customer"], read["supplier"]),
         routes=_routes(read["nation"]),
         airports=_airports(read["nation"], read["region"]),
+        derived=True,
     )

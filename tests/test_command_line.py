@@ -20,8 +20,7 @@ def test_refresh_then_report(spark, star, tmp_path, capsys):
     write_tables(star, tables)
     assert main(["refresh", "--tables", tables, "--marts", marts], spark) == 0
     assert main(["report", "--marts", marts, "--out", out, "--cabin", "Business"], spark) == 0
-    (part,) = Path(out, "top_routes.csv").glob("part-*.csv")
-    assert part.read_text(encoding="utf-8").splitlines()[1].startswith("BA,1,20.0,20.0,Bville")
+    assert Path(out, "top_routes.csv").read_text(encoding="utf-8").splitlines()[1].startswith("BA,1,20.0,20.0,Bville")
     assert "regional_revenue.csv" in capsys.readouterr().out
 
 

@@ -18,8 +18,8 @@ from tests.conftest import AIRPORT_ROWS, ROUTE_ROWS, dicts, rows
 ALL = sl.FilterSpec()
 
 
-def read_csv(folder) -> list[list[str]]:
-    (part,) = Path(folder).glob("part-*.csv")
+def read_csv(path) -> list[list[str]]:
+    (part,) = Path(path).glob("part-*.csv") if Path(path).is_dir() else [Path(path)]
     with part.open(encoding="utf-8", newline="") as lines:
         return list(csv.reader(lines))
 
