@@ -5,8 +5,8 @@ letters, numbers and other marks with one space before, white space). The first
 looks each up in a minimal perfect hash of the vocabulary: two array reads, then the
 whole 64-bit hash and the length are compared. The second tier merges the bytes of a
 pre-token that is no token itself: linked bytes, and a heap of neighbouring pairs by
-rank and place. Results of the second tier are kept for the next texts of a worker, up
-to ``KEEP`` of them.
+rank and place. Results of the second tier are kept for the next texts of a worker by
+their bytes, up to ``KEEP`` of them: of two halves the older one goes when the newer is full.
 
 Null and empty texts have no ids; other columns are kept as they are; equal rows get
 equal ids; an empty table gives an empty result. Ids of one text are one row.
@@ -131,49 +131,58 @@ class PerfectHash:
         return np.where(shift < 0, -1 - shift, self._slots(keys, shift.astype(np.uint64)))
 
 
-def merged(piece: bytes, ranks: Mapping[bytes, int]) -> list[int]:
-    """Ids of ``piece`` after all merges, lowest rank first, the leftmost of equals."""
-    n = len(piece)
-    rank_of = ranks.get
-    after = list(range(1, n + 1))  # where the part that begins at i ends
-    before = list(range(-1, n - 1))  # where the part before it begins
-    # A heap entry is one number: rank, begin and end of a pair of neighbours.
-    bits = n.bit_length()
-    last, two = (1 << bits) - 1, 2 * bits
-    heap = [
-        rank << two | i << bits | i + 2
-        for i in range(n - 1)
-        if (rank := rank_of(piece[i : i + 2])) is not None
-    ]
-    heapify(heap)
-    while heap:
-        entry = heappop(heap)
-        i, end = entry >> bits & last, entry & last
-        middle = after[i]
-        # A pair that has changed since is passed over; its new form is in the heap.
-        if middle >= n or middle < 0 or after[middle] != end:
-            continue
-        after[i], after[middle] = end, -1
-        if end < n:
-            before[end] = i
-            rank = rank_of(piece[i : after[end]])
-            if rank is not None:
-                heappush(heap, rank << two | i << bits | after[end])
-        if i:
-            h = before[i]
-            rank = rank_of(piece[h:end])
-            if rank is not None:
-                heappush(heap, rank << two | h << bits | end)
-    ids, i = [], 0
-    while i < n:
-        end = after[i]
-        ids.append(ranks[piece[i:end]])
-        i = end
-    return ids
-
-
-#: Merged pre-tokens by vocabulary and hash, for all tasks of one worker.
-_KNOWN: dict[int, dict[int, bytes]] = {}
+class Merges:
+    """Ranks of byte strings, and a table of those of two bytes."""
+
+    def __init__(self, ranks: Mapping[bytes, int]) -> None:
+        self.ranks = ranks
+        self.two: list[int | None] = [None] * (1 << 16)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.two[token[0] << 8 | token[1]] = rank
+
+    def merged(self, piece: bytes) -> list[int]:
+        """Ids of ``piece`` after all merges, lowest rank first, the leftmost of equals."""
+        n, rank_of, two = len(piece), self.ranks.get, self.two
+        after = list(range(1, n + 1))  # where the part that begins at i ends
+        before = list(range(-1, n - 1))  # where the part before it begins
+        # A heap entry is one number: rank, begin and end of a pair of neighbours.
+        bits = n.bit_length()
+        last, above = (1 << bits) - 1, 2 * bits
+        heap = [
+            rank << above | i << bits | i + 2
+            for i, (a, b) in enumerate(zip(piece, piece[1:], strict=False))
+            if (rank := two[a << 8 | b]) is not None
+        ]
+        heapify(heap)
+        while heap:
+            entry = heappop(heap)
+            i, end = entry >> bits & last, entry & last
+            middle = after[i]
+            # A pair that has changed since is passed over; its new form is in the heap.
+            if middle >= end or after[middle] != end:
+                continue
+            after[i], after[middle] = end, n
+            if end < n:
+                before[end] = i
+                rank = rank_of(piece[i : after[end]])
+                if rank is not None:
+                    heappush(heap, rank << above | i << bits | after[end])
+            if i:
+                h = before[i]
+                rank = rank_of(piece[h:end])
+                if rank is not None:
+                    heappush(heap, rank << above | h << bits | end)
+        ids, i = [], 0
+        while i < n:
+            end = after[i]
+            ids.append(self.ranks[piece[i:end]])
+            i = end
+        return ids
+
+
+#: Merged pre-tokens by vocabulary, newer and older ones, for all tasks of one worker.
+_KNOWN: dict[int, list[dict[bytes, bytes]]] = {}
 
 
 class Vocabulary:
@@ -198,6 +207,7 @@ class Vocabulary:
         self.row_of = np.full(int(self.ids.max()) + 1, -1, np.int64)
         self.row_of[self.ids] = np.arange(len(tokens))
         self.classes = character_classes()
+        self.merges = Merges(self.ranks)
         self.name = int(mixed(np.bitwise_xor.reduce(hashes * (self.ids + 1).astype(np.uint64), keepdims=True))[0])
 
     def whole(self, hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -214,8 +224,8 @@ class Vocabulary:
         hashes = span_hashes(texts.bytes, starts, ends)
         found = self.whole(hashes, ends - starts)
         missed = np.flatnonzero(found < 0)
-        distinct, example, which = np.unique(hashes[missed], return_index=True, return_inverse=True)
-        pieces = self._merged_all(texts, starts, ends, distinct.tolist(), missed[example].tolist())
+        _, example, which = np.unique(hashes[missed], return_index=True, return_inverse=True)
+        pieces = self._merged_all(texts, starts[missed[example]], ends[missed[example]])
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         flat = np.frombuffer(b"".join(pieces), np.int32)
         count = np.ones(len(starts), np.int64)
@@ -230,15 +240,22 @@ class Vocabulary:
             ids[np.repeat(to[missed], many) + step] = flat[np.repeat(begin, many) + step]
         return ids, to[at]
 
-    def _merged_all(self, texts, starts, ends, hashes, examples) -> list[bytes]:
-        known, ranks, b = _KNOWN.setdefault(self.name, {}), self.ranks, texts.bytes
-        if len(known) > KEEP:
-            known.clear()
-        out = []
-        for h, i in zip(hashes, examples, strict=True):
-            ids = known.get(h)
+    def _merged_all(self, texts, starts, ends) -> list[bytes]:
+        """The ids of pre-tokens; those met before are found by their bytes."""
+        generations = _KNOWN.setdefault(self.name, [{}, {}])
+        new, old = generations
+        if len(new) > KEEP // 2:
+            new, old = generations[:] = {}, new
+        merged, out = self.merges.merged, []
+        whole = texts.bytes.tobytes()
+        for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+            piece = whole[start:end]
+            ids = new.get(piece)
             if ids is None:
-                ids = known[h] = array("i", merged(b[starts[i] : ends[i]].tobytes(), ranks)).tobytes()
+                ids = old.get(piece)
+                if ids is None:
+                    ids = array("i", merged(piece)).tobytes()
+                new[piece] = ids
             out.append(ids)
         return out
 

@@ -14,8 +14,9 @@ fifth of them that was not fitted. All other sums cover all rows.
 
 Null and empty texts have no units and are scored from zero vectors; repeated rows get
 equal scores; labels that contradict each other for one id are averaged; without any
-label, or with one kind of label only, the score is the share of label 1, or 0.5. Only
-the named columns are read.
+label, or with one kind of label only, the score is the share of label 1, or 0.5. Of rows
+with one id and different texts the one of least pooled vector (as bytes) is learnt from.
+Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -137,6 +138,18 @@ def pooled(texts: Texts, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def added_in_order(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The matrix product, each row's terms added from the first on.
+
+    A library's product adds them in an order that depends on how many rows there are,
+    so that one row would get another last digit in another batch.
+    """
+    out = np.zeros((len(x), w.shape[1]))
+    for column, weights in zip(np.ascontiguousarray(x.T), w, strict=True):
+        out += column[:, None] * weights
+    return out
+
+
 @dataclass
 class Network:
     """Standardised features, one hidden layer of tanh, one output, a temperature."""
@@ -151,7 +164,7 @@ class Network:
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         x = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2
+        return added_in_order(np.tanh(added_in_order(x, self.w1) + self.b1), self.w2[:, None])[:, 0] + self.b2
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
@@ -234,7 +247,7 @@ def score(
     features = written(docs.mapInArrow(pool, "doc_id long, features binary"), "pooled-vectors")
     wanted = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
     wanted = wanted.dropna().groupBy("doc_id").agg(F.avg("y").alias("y"))
-    one_each = features.join(wanted, "doc_id").dropDuplicates(["doc_id"])
+    one_each = features.join(wanted, "doc_id").groupBy("doc_id", "y").agg(F.min("features").alias("features"))
     sample = one_each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).toArrow()
     x = np.frombuffer(b"".join(sample.column("features").to_pylist()), np.float32).reshape(-1, FEATURES)
     net = fitted(x, sample.column("y").to_numpy())

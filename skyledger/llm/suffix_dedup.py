@@ -53,9 +53,9 @@ SIDE = LENGTH - GRAM  # most bytes of a block before its anchor, and after it
 #: Bytes of a block as it is sorted: anchor, lengths of both sides, right and left side.
 BLOCK = GRAM + 2 + 2 * SIDE
 #: Bytes of text in a run; one longer text is a run.
-RUN = 8 << 20
+RUN = 4 << 20
 #: Hashes in a group, and blocks or strings in a range.
-GROUP, RANGE = 2_000_000, 250_000
+GROUP, RANGE = 1_000_000, 150_000
 #: One in so many blocks of a run is in the sample that ranges are cut by.
 STEP = 256
 
@@ -107,11 +107,11 @@ def blocks_of(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     count = np.maximum(np.diff(texts.at) - LENGTH + 1, 0)
     if not count.sum():
         return np.zeros(0, np.uint8), np.zeros(0, np.uint8)
-    first = np.cumsum(count) - count
-    at = np.arange(count.sum()) + np.repeat(texts.at[:-1] - first, count)
-    off = _anchors(texts.bytes)[at]
+    off = _anchors(texts.bytes)
+    own = zip(texts.at[:-1].tolist(), count.tolist(), strict=True)
+    off = np.concatenate([off[start : start + n] for start, n in own if n])
     new = np.append(True, off[:-1] != off[1:] + 1)
-    new[first[count > 0]] = True
+    new[(np.cumsum(count) - count)[count > 0]] = True
     begins = np.flatnonzero(new)
     return np.diff(np.append(begins, len(off))).astype(np.uint8), off[begins]
 
@@ -637,9 +637,9 @@ def _kept(runs: DataFrame, marks: DataFrame) -> DataFrame:
                 edges = np.zeros(len(b) + 1, np.int8)
                 edges[spans[:, 0]] += 1
                 edges[spans[:, 1]] -= 1
-                keep = np.cumsum(edges[:-1], dtype=np.int8) == 0
-                kept = b[keep]
-                to = np.concatenate([[0], np.cumsum(keep)])[at]
+                kept = b[np.cumsum(edges[:-1], dtype=np.int8) == 0]
+                gone = np.concatenate([[0], np.cumsum(spans[:, 1] - spans[:, 0])])
+                to = at - gone[first]
                 for i in range(0, len(ids), 1000):
                     own = range(i, min(i + 1000, len(ids)))
                     yield pa.RecordBatch.from_arrays(

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.llm.store import written
+from skyledger.llm.store import remove, written, written_at
 
 SCALE = 1024
 PARTS = 4
@@ -57,7 +57,7 @@ _FAR = np.iinfo(np.int64).max
 
 
 def whole_vectors(rows: DataFrame, id_column: str, vector: str, label: str) -> DataFrame:
-    """vec_id, label and the whole components (bytes of longs) of every vector that is kept."""
+    """vec_id, label and the whole components (bytes of ints) of every vector that is kept."""
     kind = rows.schema[label].dataType
     schema = T.StructType().add("vec_id", "long").add("label", kind).add("x", "binary")
     rows = rows.select(
@@ -77,7 +77,7 @@ def whole_vectors(rows: DataFrame, id_column: str, vector: str, label: str) -> D
             # For squared distances of whole vectors to stay below 2 ** 62.
             most = np.floor(np.sqrt(2.0**60 / size))[row]
             with np.errstate(over="ignore", invalid="ignore"):
-                z = np.nan_to_num(np.clip(np.floor(x * SCALE), -most, most)).astype(np.int64)
+                z = np.nan_to_num(np.clip(np.floor(x * SCALE), -most, most)).astype(np.int32)
             own = [z[e - n : e].tobytes() for e, n in zip(ends, size, strict=True)]
             out = [batch.column("vec_id"), batch.column("label"), pa.array(own, pa.binary())]
             yield pa.RecordBatch.from_arrays(out, ["vec_id", "label", "x"]).filter(pa.array(~bad))
@@ -164,8 +164,8 @@ def _held(batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.Table]:
 
 
 def _vectors(table: pa.Table) -> np.ndarray:
-    x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.int64)
-    return x.reshape(table.num_rows, -1)
+    x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.int32)
+    return x.reshape(table.num_rows, -1).astype(np.int64)
 
 
 def _assigned(rows: DataFrame, books: list[Codebook]) -> DataFrame:
@@ -238,11 +238,13 @@ def train(vectors: DataFrame) -> tuple[list[Codebook], DataFrame] | None:
     start = _vectors(first)
     width = start.shape[1] // PARTS
     books = [Codebook(start[:, p * width : (p + 1) * width].copy()) for p in range(PARTS)]
-    rows = vectors
+    rows, path = written_at(_assigned(vectors, books), "vector-codes")
     for _ in range(ROUNDS):
-        rows = written(_assigned(rows, books), "vector-codes")
         books = _moved(rows, books)
-    return books, written(_assigned(rows, books), "vector-codes")
+        last = path
+        rows, path = written_at(_assigned(rows, books), "vector-codes")
+        remove(vectors.sparkSession, last)  # the new table has all of it
+    return books, rows
 
 
 def compress(

@@ -63,3 +63,26 @@ def test_odd_rows(spark, odd, empty):
     assert {round(r.score, 6) for r in none} == {0.5}
     same = qc.score(odd, labels.filter(F.col("quality") == 1)).collect()
     assert all(r.score > 0.99 for r in same)
+
+
+def test_a_row_scores_the_same_in_any_batch():
+    draw = np.random.default_rng(8)
+    x = draw.normal(0, 1, (400, qc.FEATURES)).astype(np.float32).astype(float)
+    net = qc.fitted(x, (x[:, 0] + draw.normal(0, 1, 400) > 0).astype(float), rounds=3)
+    row = draw.normal(0, 1, qc.FEATURES).astype(np.float32).astype(float)
+    scores = set()
+    for n in range(1, 101):
+        rows = np.concatenate([x[:n], row[None], x[n : 2 * n]])
+        scores.add(net.scores(rows)[n])
+        scores |= set(net.scores(np.repeat(row[None], n, axis=0)))
+    assert len(scores) == 1
+
+
+def test_ids_with_different_texts_are_learnt_alike_in_any_order(spark):
+    rows = [(i % 40, f"text {i} of some words {'again ' * (i % 7)}") for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    found = []
+    for parts, order in ((1, rows), (5, rows[::-1])):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        found.append(sorted((r.doc_id, round(r.score, 9)) for r in qc.score(docs, labels).collect()))
+    assert found[0] == found[1]
