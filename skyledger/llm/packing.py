@@ -155,11 +155,14 @@ def pack(
         held = 0
         for part, texts in chunks(batches):
             values, at = vocabulary.encode(texts)
-            for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
-                ids = np.append(values[at[i] : at[i + 1]], end_id).astype(dtype)
-                for offset in range(0, len(ids), length):
-                    pieces.append(Piece(doc_id, offset, ids[offset : offset + length]))
-                held += len(ids)
+            values = np.insert(values, at[1:], end_id).astype(dtype)
+            ends = (at[1:] + np.arange(1, len(at))).tolist()
+            begin = 0
+            for doc_id, end in zip(part.column("doc_id").to_pylist(), ends, strict=True):
+                for offset in range(0, end - begin, length):
+                    pieces.append(Piece(doc_id, offset, values[begin + offset : min(begin + offset + length, end)]))
+                begin = end
+            held += len(values)
             if held >= BUFFER:
                 for batch in _packed(pieces, length, end_id, dtype, first):
                     first += batch.num_rows

@@ -37,10 +37,14 @@ def document_sizes(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
 def assign_shards(sizes: DataFrame, n_shards: int) -> DataFrame:
     """Adds ``shard`` (0 to n_shards - 1) and ``slot`` (0 and up inside each shard)."""
-    order = ["doc_id", "size", "text_crc32"]
+    columns = ["doc_id", "size", "text_crc32"]
+    # Equal rows are interchangeable: a number drawn for each, kept by writing it, lets the
+    # ranges cut through them, however many there are.
+    order = [*columns, "_spread"]
     parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = written(sizes.withColumn("_spread", F.rand(24)), "shard-sizes")
     placed = written(
-        sizes.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()),
+        drawn.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()),
         "shard-rows",
     )
     # One row per partition: the window over all of them is as small as their number.
@@ -63,7 +67,7 @@ def assign_shards(sizes: DataFrame, n_shards: int) -> DataFrame:
     middle = 2 * (F.col("_bytes_before") + F.col("_sum")) - F.col("size")
     rows = written(
         rows.select(
-            *order,
+            *columns,
             (F.col("_rows_before") + F.col("_row")).alias("_place"),
             F.expr("_all").alias("_all"),
             middle.alias("_middle"),
@@ -74,5 +78,5 @@ def assign_shards(sizes: DataFrame, n_shards: int) -> DataFrame:
     )
     starts = rows.groupBy("shard").agg(F.min("_place").alias("_start"))
     return rows.join(starts, "shard").select(
-        *order, "shard", (F.col("_place") - F.col("_start")).alias("slot")
+        *columns, "shard", (F.col("_place") - F.col("_start")).alias("slot")
     )

@@ -32,3 +32,24 @@ def test_odd_rows(odd, empty):
         assert slots == list(range(len(slots)))
     assert {r.size for r in rows if r.text_crc32 == 0} == {8}
     assert sharding.assign_shards(sharding.document_sizes(empty), 3).count() == 0
+
+
+def test_equal_rows_do_not_meet_in_one_range(spark, monkeypatch):
+    """Nine of ten rows have a null id and no text."""
+    kept = {}
+    original = sharding.written
+
+    def keep(df, name):
+        kept[name] = original(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(sharding, "written", keep)
+    rows = [(i, "some text") for i in range(100)] + [(None, "")] * 900
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sharding.assign_shards(sharding.document_sizes(df), 5).collect()
+    parts = [r["count"] for r in kept["shard-rows"].groupBy("_part").count().collect()]
+    assert len(parts) == 8 and max(parts) < 300
+    assert len(found) == 1000
+    for shard in range(5):
+        slots = sorted(r.slot for r in found if r.shard == shard)
+        assert slots == list(range(len(slots)))
