@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 
 from skyledger.llm import decontaminate, queries
+from skyledger.llm.words import mixed
 from tests.conftest import MEDIUM
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,6 +94,34 @@ def test_blocks_find_all_within_the_radius():
         assert found[k // 64] >> np.uint64(k % 64) & np.uint64(1)
 
 
+def test_sliding_fingerprints_are_those_of_each_window():
+    draw = np.random.default_rng(4)
+    for values, n, size in ((1 << 60, 40, 7), (3, 60, 11), (1, 30, 6), (12, 90, 40), (5, 9, 9)):
+        h = mixed(draw.integers(0, values, n, dtype=np.uint64))
+        starts = np.arange(n - size + 1)
+        together = decontaminate.fingerprints(h, starts, size)
+        for s in starts:
+            own = h[s : s + size]
+            alone = decontaminate.fingerprints(own, np.zeros(1, np.int64), size)
+            assert (together[s] == alone[0]).all()
+            shuffled = decontaminate.fingerprints(draw.permutation(own), np.zeros(1, np.int64), size)
+            assert (shuffled == alone).all()  # a set has no order
+
+
+def test_nothing_is_found_without_the_blocks(spark, monkeypatch):
+    """Hits come through the fingerprints alone."""
+    docs, items = edited_passages()
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    made = decontaminate.Index.__init__
+
+    def emptied(self, *arguments):
+        made(self, *arguments)
+        self.near[:] = 0
+
+    monkeypatch.setattr(decontaminate.Index, "__init__", emptied)
+    assert decontaminate.leaks(frame(docs, "doc_id"), frame(items, "item_id")).count() == 0
+
+
 def test_odd_rows(spark, odd, empty):
     schema = "item_id long, text string, kept string"
     bench = spark.createDataFrame(
