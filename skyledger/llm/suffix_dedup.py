@@ -7,7 +7,7 @@ a distributed merge sort that knows common prefixes:
 1. Documents become runs of about RUN bytes. Of the grams of GRAM bytes in each string the
    one of least hash is its anchor, so a string has the same anchor wherever it occurs.
    Strings that begin one after another and share an anchor are one block: the text from
-   the first to the last of them, some 13 suffixes in about 62 bytes.
+   the first to the last of them, some 17 suffixes in about 66 bytes.
 2. Hashes of anchors are exchanged, sorted and packed. A string that occurs in two
    documents has an anchor that does, so blocks of other anchors cannot matter and are left
    out here; a collision of hashes only keeps a block in.
@@ -48,7 +48,7 @@ from skyledger.llm.store import remove, written_at
 from skyledger.llm.words import _BASE, _INVERSE, _VALUES, CHUNK, Texts, _powers, mixed, texts_of
 
 LENGTH = 50
-GRAM = 26
+GRAM = 18
 SIDE = LENGTH - GRAM  # most bytes of a block before its anchor, and after it
 #: Bytes of a block as it is sorted: anchor, lengths of both sides, right and left side.
 BLOCK = GRAM + 2 + 2 * SIDE
@@ -133,9 +133,9 @@ def _runs(docs: DataFrame) -> DataFrame:
         ids = table.column("doc_id").combine_chunks().fill_null(_LAST).to_numpy()
         texts = texts_of(table.column("text").combine_chunks())
         n, off = blocks_of(texts)
-        columns = [ids.astype(np.int64), texts.at, texts.bytes, n, off]
+        columns = [ids.astype(np.int64).tobytes(), texts.at.tobytes(), _packed(texts.bytes.tobytes()), n.tobytes(), off.tobytes()]
         return pa.RecordBatch.from_arrays(
-            [pa.array([run]), *[pa.array([c.tobytes()], pa.binary()) for c in columns], pa.array([len(n)])],
+            [pa.array([run]), *[pa.array([c], pa.binary()) for c in columns], pa.array([len(n)])],
             ["run", "ids", "at", "text", "n", "off", "n_blocks"],
         )
 
@@ -166,6 +166,21 @@ def _array(batch, name: str, kind, row: int) -> np.ndarray:
     return np.frombuffer(batch.column(name)[row].as_py() or b"", kind)
 
 
+def _packed(content) -> bytes:
+    """Bytes as they go through shuffles and files."""
+    return pa.compress(content, codec="zstd", asbytes=True)
+
+
+def _unpacked(content: bytes, size: int) -> np.ndarray:
+    if not size:
+        return np.zeros(0, np.uint8)
+    return np.frombuffer(pa.decompress(content, size, codec="zstd", asbytes=True), np.uint8)
+
+
+def _text(batch, row: int, at: np.ndarray) -> np.ndarray:
+    return _unpacked(batch.column("text")[row].as_py(), int(at[-1]))
+
+
 # Which anchors occur in more than one document.
 
 
@@ -188,7 +203,7 @@ def _shared_anchors(runs: DataFrame, groups: int) -> DataFrame:
             for k in range(batch.num_rows):
                 n, off, at = (_array(batch, c, t, k) for c, t in (("n", np.uint8), ("off", np.uint8), ("at", np.int64)))
                 start, doc = _starts(n, at)
-                distinct, which = _keys(_array(batch, "text", np.uint8, k), start + off, groups)
+                distinct, which = _keys(_text(batch, k, at), start + off, groups)
                 order = np.argsort(which, kind="stable")
                 ends = np.cumsum(np.bincount(which, minlength=len(distinct)))
                 first = np.append(0, ends[:-1])
@@ -252,10 +267,10 @@ def sorted_distinct(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]
 
 
 def front_coded(rows: np.ndarray, common: np.ndarray) -> tuple[bytes, bytes]:
-    """The common prefixes, the first of none, and the rest of each row."""
+    """The common prefixes, the first of none, and the rest of each row, packed."""
     common = common.copy()
     common[:1] = 0
-    return common.tobytes(), rows[np.arange(rows.shape[1]) >= common[:, None]].tobytes()
+    return common.tobytes(), _packed(rows[np.arange(rows.shape[1]) >= common[:, None]].tobytes())
 
 
 def decoded(common: bytes, rest: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +278,7 @@ def decoded(common: bytes, rest: bytes, width: int) -> tuple[np.ndarray, np.ndar
     prefix = np.frombuffer(common, np.uint8)
     own = np.arange(width) >= prefix[:, None]
     rows = np.zeros(own.shape, np.uint8)
-    rows[own] = np.frombuffer(rest, np.uint8)
+    rows[own] = _unpacked(rest, int(own.sum()))
     source = np.maximum.accumulate(np.where(own, np.arange(len(own))[:, None], 0), axis=0)
     return rows[source, np.arange(width)], prefix
 
@@ -446,7 +461,7 @@ def _block_items(runs: DataFrame, shared: DataFrame, groups: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 n, off, at = (_array(batch, c, t, k) for c, t in (("n", np.uint8), ("off", np.uint8), ("at", np.int64)))
-                b, ids = _array(batch, "text", np.uint8, k), _array(batch, "ids", np.int64, k)
+                b, ids = _text(batch, k, at), _array(batch, "ids", np.int64, k)
                 start, doc = _starts(n, at)
                 distinct, which = _keys(b, start + off, groups)
                 cut, bits = _cuts(distinct, groups), np.zeros(len(distinct), bool)
@@ -548,8 +563,8 @@ def _open_strings(blocks: DataFrame, least: DataFrame) -> DataFrame:
                 own, holders = _array(batch, "f", np.int64, k), _array(batch, "g", np.int64, k).reshape(-1, 3)
                 block, at = where[:, 0], where[:, 1]
                 gone = low[place] < own[block]
-                bits = np.zeros(len(own), np.uint32)
-                np.bitwise_or.at(bits, block[gone], np.uint32(1) << at[gone].astype(np.uint32))
+                bits = np.zeros(len(own), np.uint64)
+                np.bitwise_or.at(bits, block[gone], np.uint64(1) << at[gone].astype(np.uint64))
                 holders = holders[bits[holders[:, 0]] > 0]
                 holders = holders[np.argsort(holders[:, 1], kind="stable")]
                 run, begins = np.unique(holders[:, 1], return_index=True)
@@ -582,15 +597,15 @@ def _marks(items: DataFrame, said: DataFrame) -> DataFrame:
         answers = sorted((r for r in rows if r["kind"] == 0), key=lambda r: r["part"])
         least = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["a"], np.int64) for r in answers]])
         offset = {r["part"]: k for r, k in zip(answers, np.cumsum([0, *[len(r["a"]) // 8 for r in answers]]), strict=False)}
-        bits = np.zeros(len(least), np.uint32)
+        bits = np.zeros(len(least), np.uint64)
         for r in rows:
             if r["kind"] == 2:
-                bits[offset[r["part"]] + np.frombuffer(r["a"], np.int64)] = np.frombuffer(r["b"], np.uint32)
+                bits[offset[r["part"]] + np.frombuffer(r["a"], np.int64)] = np.frombuffer(r["b"], np.uint64)
         gone = ids > least[item]
         begin, end = [start[gone]], [start[gone] + shape[item[gone], 0] - 1 + LENGTH]
         some = np.flatnonzero(~gone & (bits[item] > 0))
         for place in range(SIDE + 1):
-            there = some[(bits[item[some]] >> np.uint32(place)) & np.uint32(1) > 0]
+            there = some[(bits[item[some]] >> np.uint64(place)) & np.uint64(1) > 0]
             at = start[there] + place - (SIDE - shape[item[there], 1])
             begin.append(at)
             end.append(at + LENGTH)
@@ -631,7 +646,7 @@ def _kept(runs: DataFrame, marks: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, at = _array(batch, "ids", np.int64, k), _array(batch, "at", np.int64, k)
-                b = _array(batch, "text", np.uint8, k)
+                b = _text(batch, k, at)
                 spans = _united(_array(batch, "spans", np.int64, k).reshape(-1, 2), at)
                 first = np.searchsorted(spans[:, 0], at)
                 edges = np.zeros(len(b) + 1, np.int8)
