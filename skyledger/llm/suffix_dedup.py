@@ -7,7 +7,7 @@ a distributed merge sort that knows common prefixes:
 1. Documents become runs of about RUN bytes. Of the grams of GRAM bytes in each string the
    one of least hash is its anchor, so a string has the same anchor wherever it occurs.
    Strings that begin one after another and share an anchor are one block: the text from
-   the first to the last of them, some 17 suffixes in about 66 bytes.
+   the first to the last of them, some 13 suffixes in about 62 bytes.
 2. Hashes of anchors are exchanged, sorted and packed. A string that occurs in two
    documents has an anchor that does, so blocks of other anchors cannot matter and are left
    out here; a collision of hashes only keeps a block in.
@@ -20,8 +20,10 @@ a distributed merge sort that knows common prefixes:
    read, from there on. Equal blocks come out side by side, and their least id goes
    back to the runs: what occurs with a larger id goes as a whole.
 5. Blocks that share an anchor and are not equal (at the ends of a passage) may still have
-   strings in common. Their strings, once for each block, are sorted runs of the same kind
-   and go through the same exchange and merge, and tell for each which strings go.
+   strings in common. They are side by side too, and their strings are sorted where they
+   are. Only where a border of ranges goes through such blocks, as it must if there are
+   more than a range holds, their strings, once for each block, are sorted runs of the
+   same kind that go through the same exchange and merge.
 
 A range holds about RANGE blocks whatever the number of documents, a passage that all
 documents have is one block of each run, and nothing but splitters (one for each range)
@@ -48,7 +50,7 @@ from skyledger.llm.store import remove, written_at
 from skyledger.llm.words import _BASE, _INVERSE, _VALUES, CHUNK, Texts, _powers, mixed, texts_of
 
 LENGTH = 50
-GRAM = 18
+GRAM = 26
 SIDE = LENGTH - GRAM  # most bytes of a block before its anchor, and after it
 #: Bytes of a block as it is sorted: anchor, lengths of both sides, right and left side.
 BLOCK = GRAM + 2 + 2 * SIDE
@@ -56,6 +58,8 @@ BLOCK = GRAM + 2 + 2 * SIDE
 RUN = 4 << 20
 #: Hashes in a group, and blocks or strings in a range.
 GROUP, RANGE = 1_000_000, 150_000
+#: Blocks of which all strings are held at once.
+_HELD = 16_384
 #: One in so many blocks of a run is in the sample that ranges are cut by.
 STEP = 256
 
@@ -440,8 +444,8 @@ def _block_rows(b: np.ndarray, start: np.ndarray, n: np.ndarray, off: np.ndarray
     return out
 
 
-def _strings_of(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All strings of the blocks: their bytes, the block of each, and its place there.
+def _strings_of(blocks: np.ndarray, places: range = range(SIDE + 1)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings of the blocks at ``places``: their bytes, the block of each, and its place.
 
     Places go from 0 to SIDE, by the distance of the anchor: SIDE is right at it.
     """
@@ -449,11 +453,29 @@ def _strings_of(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         [blocks[:, GRAM + 2 + SIDE :][:, ::-1], blocks[:, :GRAM], blocks[:, GRAM + 2 : GRAM + 2 + SIDE]], axis=1
     )
     left, right = blocks[:, GRAM].astype(np.int64), blocks[:, GRAM + 1].astype(np.int64)
-    place = np.arange(SIDE + 1)
-    block, at = np.nonzero((place >= SIDE - left[:, None]) & (place <= right[:, None]))
+    place = np.array(places)
+    block, k = np.nonzero((place >= SIDE - left[:, None]) & (place <= right[:, None]))
+    at = place[k]
     return text[block[:, None], at[:, None] + np.arange(LENGTH)], block, at
 
 
+def _gone_strings(blocks: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each block a bit at each place whose string some block has with a smaller id.
+
+    Equal strings have equal anchors at equal places, so if there are many blocks they
+    are taken place by place.
+    """
+    bits = np.zeros(len(blocks), np.uint64)
+    step = SIDE + 1 if len(blocks) <= _HELD else 1
+    for first in range(0, SIDE + 1, step):
+        strings, block, at = _strings_of(blocks, range(first, first + step))
+        if len(strings):
+            _, _, low, which = sorted_distinct(strings, least[block])
+            gone = low[which] < least[block]
+            np.bitwise_or.at(bits, block[gone], np.uint64(1) << at[gone].astype(np.uint64))
+    return bits
+
+
 def _block_items(runs: DataFrame, shared: DataFrame, groups: int) -> DataFrame:
     """Of each run: its distinct shared blocks as sorted strings, and where they occur."""
 
@@ -487,7 +509,8 @@ def _block_items(runs: DataFrame, shared: DataFrame, groups: int) -> DataFrame:
     return joined.mapInArrow(run, "run long, " + ", ".join(f"{c} binary" for c in names))
 
 
-#: What a merge says: least ids for a run (kind 0), or strings of its own blocks (kind 1).
+#: What a merge says: least ids for a run (kind 0), strings that are still open (kind 1), or
+#: which strings of a run's blocks go (kind 2).
 _MERGED = ["a", "b", "c", "d", "e", "f", "g"]
 _MERGED_SCHEMA = "kind int, run long, part long, " + ", ".join(f"{c} binary" for c in _MERGED)
 
@@ -503,27 +526,45 @@ def _said(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _merge_blocks(pieces: DataFrame, splitters: list[bytes]) -> DataFrame:
-    """Least ids of all blocks; and strings of those that share their anchor with others."""
+    """Least ids of all blocks, and which strings go of those that share just their anchor.
+
+    Or these strings, where the blocks of an anchor are in more than one range.
+    """
 
     def merge(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         own = _Range(table, BLOCK)
-        # Equal up to the anchor with a block before or after, or with one at the border.
-        near = (own.common[own.first] >= GRAM) & (np.arange(len(own.first)) > 0)
-        near[:-1] |= near[1:].copy()
+        said = [(0, run, part, own.least[own.group[at]]) for run, at in own.slices()]
         shown = own.rows[own.place[own.first]]
+        alike = own.common[own.first] >= GRAM  # in the anchor with the block before
+        anchor = np.cumsum(~alike)
+        cut = np.zeros(len(shown), bool)
         for border in (*splitters[max(0, part - 1) : part], *splitters[part : part + 1]):
-            near |= (shown[:, :GRAM] == np.frombuffer(border, np.uint8)[:GRAM]).all(axis=1)
-        said = [(0, run, part, own.least[own.group[at]]) for run, at in own.slices()]
-        some = np.flatnonzero(near)
-        if len(some):
+            cut |= (shown[:, :GRAM] == np.frombuffer(border, np.uint8)[:GRAM]).all(axis=1)
+        many = np.bincount(anchor)[anchor] > 1
+        # Whole anchors, up to _HELD blocks of them at a time.
+        bits = np.zeros(len(shown), np.uint64)
+        some = np.flatnonzero(many & ~cut)
+        ends = np.append(np.flatnonzero(np.diff(anchor[some])) + 1, len(some))
+        low = 0
+        while low < len(some):
+            high = ends[max(np.searchsorted(ends, low + _HELD, "right") - 1, np.searchsorted(ends, low, "right"))]
+            bits[some[low:high]] = _gone_strings(shown[some[low:high]], own.least[some[low:high]])
+            low = high
+        # Whose runs have a document with the least id: for the others all strings go.
+        open_ = own.ids == own.least[own.group]
+        for run, at in own.slices():
+            item = np.flatnonzero(open_[at] & (bits[own.group[at]] > 0))
+            if len(item):
+                said.append((2, run, part, item, bits[own.group[at][item]]))
+        if cut.any():
+            some = np.flatnonzero(cut)
             strings, block, at = _strings_of(shown[some])
             least = own.least[some]
             rows, common, ids, place = sorted_distinct(strings, least[block])
-            # Whose runs have a document with the least id: its strings are still open.
-            number = np.full(len(own.first), -1)
+            number = np.full(len(shown), -1)
             number[some] = np.arange(len(some))
-            holder = np.flatnonzero((number[own.group] >= 0) & (own.ids == own.least[own.group]))
+            holder = np.flatnonzero((number[own.group] >= 0) & open_)
             of = np.searchsorted(own.ends, holder, "right")
             item = holder - np.append(0, own.ends)[of]
             said.append((
@@ -693,5 +734,5 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     strings = blocks.select("run", F.col("a").alias("common"), F.col("b").alias("rest"), F.col("c").alias("ids"))
     least, _ = written_at(_merge_strings(_pieces(strings, _splitters(strings, LENGTH), LENGTH)), "merged-strings")
     opened = _open_strings(blocks, least)
-    marks, _ = written_at(_marks(where, said.filter("kind = 0").unionByName(opened)), "marks")
+    marks, _ = written_at(_marks(where, said.filter("kind <> 1").unionByName(opened)), "marks")
     return _kept(runs, marks)

@@ -100,10 +100,24 @@ def test_passages_edges_and_periods(spark, monkeypatch, seed):
     monkeypatch.setattr(suffix_dedup, "GROUP", 500)
     monkeypatch.setattr(suffix_dedup, "RANGE", 120)
     monkeypatch.setattr(suffix_dedup, "STEP", 3)
+    monkeypatch.setattr(suffix_dedup, "_HELD", [5, 60, 1000][seed])
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
     assert ordered(found(df)) == ordered(brute_force(docs))
 
 
+def test_an_anchor_with_more_blocks_than_a_range_holds(spark, monkeypatch):
+    """A passage at a different place of every document: its ends differ in all of them."""
+    draw = random.Random(12)
+    word = lambda k: "".join(draw.choice("lmnopqrs") for _ in range(k))
+    passage = word(90)
+    docs = [(i, word(draw.randrange(30, 90)) + passage + word(draw.randrange(30, 90))) for i in range(200)]
+    monkeypatch.setattr(suffix_dedup, "RUN", 3000)
+    monkeypatch.setattr(suffix_dedup, "RANGE", 50)
+    monkeypatch.setattr(suffix_dedup, "STEP", 2)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert ordered(found(df)) == ordered(brute_force(docs))
+
+
 def test_repeated_ids_nulls_and_copies(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "RUN", 300)
     draw = random.Random(9)
