@@ -23,15 +23,13 @@ however few rows have it, so the model has BUCKETS doubles for each label in the
 and a row two doubles; without any label every row is ``und``. Repeated rows count as
 often as they occur; other columns than the named are left behind.
 
-A language with fewer than LEAST_GRAMS labelled grams is mostly smoothing, and what else
-its host has could outweigh its texts: ``known_languages`` keeps its labelled rows with
-letters whatever is found.
+In ``known_languages`` a row's label is its declared language.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +41,6 @@ from skyledger.llm.words import Texts, chunks, mixed
 
 BUCKETS = 1 << 14
 SATURATION = 100
-#: A language with fewer labelled grams is too small to reject its labelled rows by.
-LEAST_GRAMS = BUCKETS
 #: Languages whose counts a task holds at a time.
 HELD = 64
 #: Rows that a parent's shares weigh in the smoothing of its children.
@@ -82,14 +78,10 @@ def grams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """log P(bucket | language) with a row for each bucket; the last column is UND.
-
-    ``small`` are the languages with fewer than LEAST_GRAMS labelled grams.
-    """
+    """log P(bucket | language) with a row for each bucket; the last column is UND."""
 
     languages: list[str]
     log_p: np.ndarray
-    small: list[str] = field(default_factory=list)
 
     @property
     def names(self) -> list[str]:
@@ -137,26 +129,27 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang") -> Model:
     place = np.array([languages.index(x) for x in found], np.int64)
     sums = np.zeros((BUCKETS, len(languages) + 1))
     sums[table.column("bucket").to_numpy(), place[coded.indices.to_numpy()]] = table.column("n").to_numpy()
-    small = [lang for lang, n in zip(languages, sums.sum(axis=0), strict=False) if n < LEAST_GRAMS]
     # Half of each distribution is even, so a gram not seen before costs little.
     even = np.full(BUCKETS, 1 / BUCKETS)[:, None]
     shares = 0.5 * sums / np.maximum(sums.sum(axis=0), 1) + 0.5 * even
     shares[:, -1] = 1 / BUCKETS
-    return Model(languages, np.log(shares / shares.sum(axis=0)), small)
+    return Model(languages, np.log(shares / shares.sum(axis=0)))
 
 
 def _known(host: Column) -> Column:
     return F.when(F.trim(host) != "", F.lower(F.trim(host)))
 
 
-def of_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Evidence of documents: text, and their source in the place of a host."""
+def of_documents(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", declared: str | None = None
+) -> DataFrame:
+    """Evidence of documents: text, their source in the place of a host, a declared language."""
     none = F.lit(None).cast("string")
     return docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.lit(None).cast("long").alias("page_id"),
         F.col(text).alias("text"),
-        none.alias("declared"),
+        (_known(F.col(declared)) if declared else none).alias("declared"),
         none.alias("suffix"),
         none.alias("domain"),
         F.concat(F.lit("source "), _known(F.col(source))).alias("host"),
@@ -166,8 +159,8 @@ def of_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 def of_pages(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Evidence of web pages: text without markup, declared language, suffix, domain, host."""
     host = _known(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
-    plain = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w{1,10};", " ")
-    declared = F.regexp_extract(html, r"""(?i)<html[^>]{0,200}?\blang\s*=\s*["']?([A-Za-z]{2,8})""", 1)
+    plain = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+    declared = F.regexp_extract(html, r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z]{2,8})""", 1)
     return pages.select(
         F.lit(None).cast("long").alias("doc_id"),
         F.col(id_column).cast("long").alias("page_id"),
@@ -285,6 +278,7 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
         "page_id",
         "key",
         "host",
+        "declared",
         language.alias("language"),
         F.when(there, 1 / joint).otherwise(F.lit(1.0)).alias("posterior"),
         F.when(there, F.get(names, text_best - 1)).otherwise(F.lit(UND)).alias("text_language"),
@@ -298,17 +292,17 @@ def known_languages(
 ) -> DataFrame:
     """The rows of ``docs`` that are accepted, with all their columns.
 
-    A decision depends on text and source, so the few that are not accepted are taken
-    out by these; a copy in the same source goes the same way. A row with grams and a
-    label of ``model.small`` stays.
+    The label, where there is one, is the declared language: evidence for it as far as
+    texts with that label agree. A decision depends on text, source and label, so the few
+    that are not accepted are taken out by these; a copy in the same source with the same
+    label goes the same way.
     """
-    found = identify(of_documents(docs.withColumn("_id", F.lit(None)), "_id", text, source), model)
-    bad = found.filter(~F.col("accepted")).select("key", "host", F.col("n_grams") > 0).distinct()
-    bad = written(bad.toDF("_bad_key", "_bad_host", "_bad_grams"), "rejected-texts")
+    declared = label if label in docs.columns else None
+    rows = of_documents(docs.withColumn("_id", F.lit(None)), "_id", text, source, declared)
+    bad = identify(rows, model).filter(~F.col("accepted")).select("key", "host", "declared").distinct()
+    bad = written(bad.toDF("_bad_key", "_bad_host", "_bad_declared"), "rejected-texts")
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     host = F.concat(F.lit("source "), _known(F.col(source)))
-    on = (key == F.col("_bad_key")) & host.eqNullSafe(F.col("_bad_host"))
-    if model.small and label in docs.columns:
-        small = F.coalesce(F.lower(F.col(label)).isin(model.small), F.lit(False))
-        on &= ~(F.col("_bad_grams") & small)
+    says = _known(F.col(declared)) if declared else F.lit(None).cast("string")
+    on = (key == F.col("_bad_key")) & host.eqNullSafe(F.col("_bad_host")) & says.eqNullSafe(F.col("_bad_declared"))
     return docs.join(bad, on, "left_anti")

@@ -2,7 +2,8 @@
 
 Every version of a file is a row (path, text). Its content address, the SHA-256 of its
 text, names its blob. The ledger is a Parquet folder with a row for each blob and run:
-the rules, each with its version, that were applied, and the spans they found. A scan
+the rules, each with its version, that were applied, and the spans they found, each with
+its rule's version: what an older version found counts no more. A scan
 reads only the text of one path for each blob that some current rule version has not
 seen, applies just those rules, appends to the ledger in one write, and joins what the
 ledger knows of each blob back to all its paths. Repeating a scan that was lost half-way
@@ -81,14 +82,16 @@ RULES = {
 }
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
-LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
+LEDGER = "blob binary, rules array<string>, spans array<struct<kind:string,version:int,start:int,end:int>>"
+#: Blobs a task remembers to have scanned.
+_SCANNED = 100_000
 
 
 def spans_of(text: str, rules: Mapping[str, Rule]) -> list[dict]:
     """All spans of ``text`` in code points, end exclusive."""
     lower = text.lower()
     return [
-        {"kind": kind, "start": start, "end": end}
+        {"kind": kind, "version": rule.version, "start": start, "end": end}
         for kind, rule in rules.items()
         for start, end in rule.spans(text, lower)
     ]
@@ -145,35 +148,37 @@ class Ledger:
         )
         names, rules = self._names(), self.rules
 
+        span = pa.struct([("kind", pa.string()), ("version", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done: set[bytes] = set()  # rows with equal path and text meet here
             for batch in batches:
-                found = [
-                    spans_of(text or "", {names[n]: rules[names[n]] for n in todo})
-                    for text, todo in zip(
-                        batch.column("text").to_pylist(), batch.column("rules").to_pylist(), strict=True
-                    )
-                ]
-                kind = pa.list_(
-                    pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("blob"), batch.column("rules"), pa.array(found, kind)],
-                    ["blob", "rules", "spans"],
-                )
+                own, found = [], []
+                columns = (batch.column(c).to_pylist() for c in ("blob", "text", "rules"))
+                for i, (blob, text, todo) in enumerate(zip(*columns, strict=True)):
+                    if blob not in done:
+                        if len(done) < _SCANNED:
+                            done.add(blob)
+                        own.append(i)
+                        found.append(spans_of(text or "", {names[n]: rules[names[n]] for n in todo}))
+                part = batch.select(["blob", "rules"]).take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(span))], ["blob", "rules", "spans"])
 
         texts.mapInArrow(scan, LEDGER).write.mode("append").parquet(self.folder)
 
     def findings(self) -> DataFrame:
-        """(blob, spans) of each blob in which a current rule found something."""
-        current = F.array(*map(F.lit, self.rules))
-        found = (
-            self.rows()
-            .filter(F.size("spans") > 0)
-            .groupBy("blob")
-            .agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-            .withColumn("spans", F.filter("spans", lambda s: F.array_contains(current, s["kind"])))
+        """(blob, spans) of each blob in which a current rule, in its current version, found something."""
+        current = F.array(*map(F.lit, self._names()))
+        kept = F.filter(
+            "spans", lambda s: F.array_contains(current, F.concat_ws(":", s["kind"], s["version"].cast("string")))
+        )
+        plain = F.transform(
+            kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
         )
-        return written(found.filter(F.size("spans") > 0), "blob-findings")
+        found = self.rows().select("blob", plain.alias("spans")).filter(F.size("spans") > 0)
+        # A set: scans that were repeated add nothing to gather.
+        found = found.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
+        return written(found, "blob-findings")
 
 
 # Names that no table of documents has.

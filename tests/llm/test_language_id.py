@@ -136,7 +136,7 @@ def test_rare_languages_are_learnt_and_kept(spark, monkeypatch):
     for held in (li.HELD, 1):  # counts at once, and sent on one by one
         monkeypatch.setattr(li, "HELD", held)
         model = li.train(docs)
-        assert model.languages == ["el", "en", "x0", "x1"] and model.small == ["el", "x0", "x1"]
+        assert model.languages == ["el", "en", "x0", "x1"]
         counts = Counter(sum((brute_grams(t) for _, t, lang, _ in rows if lang == "el"), []))
         total = sum(counts.values())
         for bucket, n in counts.items():
@@ -146,10 +146,33 @@ def test_rare_languages_are_learnt_and_kept(spark, monkeypatch):
     assert li.known_languages(docs, model).count() == len(rows)
 
 
-def test_labelled_rows_of_small_languages_stay_whatever_is_found(spark):
-    even = li.Model(["en", "xx"], np.full((li.BUCKETS, 3), -math.log(li.BUCKETS)), ["xx"])
-    even.log_p[:, :2] -= 20
-    rows = [(1, "some words here", "XX"), (2, "some words here", "en"), (3, "12", "xx"), (4, "other words", None)]
+def test_a_label_is_evidence_for_every_language_alike(spark):
+    """A text that says nothing goes by its label, as far as others with it agree."""
+    grams_of = lambda text: li.grams(texts_of(pa.array([text])))[0]
+    flat = li.Model(["en", "xx"], np.full((li.BUCKETS, 3), -math.log(li.BUCKETS)))
+    flat.log_p[grams_of("english words here"), 0] += 9
+    flat.log_p[grams_of("foreign speech there"), 1] += 9
+    rows = [(10 + i, "english words here", "en") for i in range(40)]
+    rows += [(60 + i, "foreign speech there", "xx") for i in range(40)]
+    rows += [(1, "qqq zzz", "XX"), (2, "qqq zzz", "en"), (3, "12", "xx"), (4, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'a' as source")
-    assert [r.doc_id for r in li.known_languages(docs, even).collect()] == [1]
-    assert li.known_languages(docs.drop("lang"), even).count() == 0
+    found = li.identify(li.of_documents(docs, declared="lang"), flat).collect()
+    language = {r.doc_id: r.language for r in found}
+    assert language[1] == "xx" and language[2] == "en" and language[3] == li.UND
+    kept = {r.doc_id for r in li.known_languages(docs, flat).collect()}
+    assert kept == {r[0] for r in rows} - {3, 4}
+    assert li.known_languages(docs.drop("lang"), flat).columns == ["doc_id", "text", "source"]
+
+
+def test_declared_language_behind_long_attributes_and_long_entities(spark):
+    prefix = " ".join(f'data-a{i}="{"v" * 30}"' for i in range(40))
+    rows = [
+        (1, "http://a.example/", f'<html {prefix} lang="de">text &CounterClockwiseContourIntegral; more</html>'),
+        (2, "http://a.example/", '<html data-lang="fr" class="x">text</html>'),
+        (3, "http://a.example/", '<htmlx lang="fr">text</htmlx>'),
+        (4, "http://a.example/", "<html " + "a" * 200_000),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r for r in li.of_pages(pages).collect()}
+    assert [found[i].declared for i in (1, 2, 3, 4)] == ["de", None, None, None]
+    assert "Contour" not in found[1].text

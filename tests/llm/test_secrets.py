@@ -75,3 +75,24 @@ def test_ledger_scans_only_unseen_blobs_and_rule_versions(spark, tmp_path):
     added = two.rows().filter("array_contains(rules, 'hex:2')").collect()
     assert len(added) == 3 and all(r.rules == ["hex:2"] for r in added)
     assert two.rows().count() == 6
+
+
+def test_a_stricter_version_drops_what_the_older_one_found(spark, tmp_path):
+    folder, schema = str(tmp_path / "ledger"), "path string, text string"
+    docs = spark.createDataFrame([("a", "x " + "0123456789abcdef01234567"), ("b", "f" * 64)], schema)
+    found = secrets.Ledger(spark, folder).scan(docs).collect()
+    assert {r.path: [(s.start, s.end) for s in r.spans] for r in found} == {"a": [(2, 26)], "b": [(0, 64)]}
+    strict = {**secrets.RULES, "hex": secrets.Rule(r"[0-9a-f]{64,}", version=2)}
+    found = secrets.Ledger(spark, folder, strict).scan(docs).collect()
+    assert {r.path: len(r.spans) for r in found} == {"a": 0, "b": 1}
+    assert [r.text for r in secrets.redacted(docs, secrets.Ledger(spark, folder, strict), "path").orderBy("path").collect()] == [
+        "x 0123456789abcdef01234567", "[hex]"
+    ]
+
+
+def test_repeated_rows_are_one_blob_in_the_ledger(spark, tmp_path):
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    docs = spark.createDataFrame([(None, "token=abcdef")] * 500, "path string, text string").repartition(5)
+    rows = ledger.scan(docs).collect()
+    assert len(rows) == 500 and all(len(r.spans) == 1 for r in rows)
+    assert ledger.rows().count() == 1
