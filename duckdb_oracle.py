@@ -328,3 +328,22 @@ ORACLE_SQL["report_from_marts"] = "\nUNION ALL\n".join(
     f" ticket_count, revenue FROM ({ORACLE_SQL[name]})"
     for name, about in _REPORT.items()
 )
+
+# Tickets that come in two deliveries give the answers of all tickets.
+ORACLE_SQL["monthly_trend_after_new_files"] = ORACLE_SQL["monthly_trend"]
+ORACLE_SQL["top_routes_after_new_files"] = ORACLE_SQL["top_routes"]
+
+ORACLE_SQL["rejected_tickets"] = """
+WITH lines AS (
+  SELECT l_extendedprice * (1 - l_discount) AS amount, l_linenumber,
+         CASE WHEN l_quantity <> 50 THEN l_tax / (l_quantity - 50) END AS tax
+  FROM lineitem),
+faults AS (
+  SELECT 'total_amount' AS source_column, 'not exact' AS reason FROM lines
+  WHERE CAST(CAST(amount AS DECIMAL(18,2)) AS DOUBLE) <> amount
+  UNION ALL
+  SELECT 'airport_tax', 'not a decimal(12,2)' FROM lines WHERE l_linenumber = 7
+  UNION ALL
+  SELECT 'local_tax', 'not exact' FROM lines WHERE CAST(CAST(tax AS DECIMAL(18,2)) AS DOUBLE) <> tax)
+SELECT 'tickets' AS source_table, source_column, reason, count(*) AS rows
+FROM faults GROUP BY ALL"""

@@ -135,5 +135,12 @@ def builders_from_partials(
     }
 
 
-def build_marts(tables: RawTables) -> Marts:
-    return Marts(mart_builders(tables))
+def build_marts(tables: RawTables, one_reading: bool = False) -> Marts:
+    """The marts as plans. With ``one_reading`` both revenue marts come from one plan of
+    partial sums: for answers that need both of tickets that are costly to make, as Spark
+    then runs what the two have in common once.
+    """
+    if not one_reading:
+        return Marts(mart_builders(tables))
+    partials = ticket_partials(tables.tickets)
+    return Marts(builders_from_partials(tables, lambda: partials))

@@ -488,3 +488,15 @@ def test_publications_are_plain_json(spark, tmp_path):
     found = json.loads((tmp_path / "published" / "0000000001.json").read_text())
     assert found == {"marts": {"a": "runs/1"}, "partials": [], "ledger": None}
     assert publications.PARTIALS == "partials"
+
+
+def test_source_stats_of_derived_tickets_reads_them_once(spark):
+    raw = sl.tables_from_orders(spark, SMALL)
+    apart, once_read = (sl.source_stats(sl.build_marts(raw, one_reading=x)) for x in (False, True))
+    assert rows(apart) == rows(once_read)
+
+    def fact_joins(df):
+        plan = plan_text(df).split("Initial Plan")[0]
+        return plan.count("l_orderkey#") and len([x for x in plan.splitlines() if "Scan parquet" in x and "l_orderkey" in x])
+
+    assert fact_joins(once_read) == 1 < fact_joins(apart)
