@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.operators.marts import builders_from_partials, mart_builders, ticket_partials
+from skyledger.plans.materialise import materialise
 from skyledger.plans.together import Failed, once, together
-from skyledger.sources.marts import check_unique_routes, mart_path
+from skyledger.sources.marts import Marts, check_unique_routes, mart_path
 from skyledger.sources.publications import PARTIALS, RUNS, publish_marts
 from skyledger.sources.tables import RawTables
 
@@ -77,6 +78,15 @@ def _derived(spark: SparkSession, source: RawTables, folder: str) -> dict[str, C
     return builders_from_partials(source, once(partials))
 
 
+def marts_of_one_reading(tables: RawTables) -> Marts:
+    """The marts as plans over partial sums that are made now, by one reading of the tickets.
+
+    For answers that need both revenue marts, of tickets that are costly to make.
+    """
+    partials = materialise(ticket_partials(tables.tickets))
+    return Marts(builders_from_partials(tables, lambda: partials))
+
+
 def refresh_marts(
     spark: SparkSession,
     source: RawTables | Mapping[str, Callable[[], DataFrame]],
