@@ -333,6 +333,8 @@ ORACLE_SQL["report_from_marts"] = "\nUNION ALL\n".join(
 ORACLE_SQL["monthly_trend_after_new_files"] = ORACLE_SQL["monthly_trend"]
 ORACLE_SQL["top_routes_after_new_files"] = ORACLE_SQL["top_routes"]
 
+ORACLE_SQL["regional_revenue_from_buckets"] = ORACLE_SQL["regional_revenue_from_marts"]
+
 ORACLE_SQL["rejected_tickets"] = """
 WITH lines AS (
   SELECT l_extendedprice * (1 - l_discount) AS amount, l_linenumber,

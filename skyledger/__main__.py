@@ -39,6 +39,7 @@ def _parser() -> argparse.ArgumentParser:
         help="JDBC reader option whose value is in an environment variable",
     )
 
+    refresh.add_argument("--buckets", type=int, help="divide the marts by route code into so many")
     how = refresh.add_mutually_exclusive_group()
     how.add_argument(
         "--new-files", action="store_true", help="read only ticket files that no refresh has read yet"
@@ -87,9 +88,9 @@ def _clear(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def _refresh(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.new_files:
-        status = sl.refresh_new_files(spark, args.tables, args.marts)
+        status = sl.refresh_new_files(spark, args.tables, args.marts, args.buckets)
     else:
-        status = sl.refresh_marts(spark, _source(spark, args), args.marts)
+        status = sl.refresh_marts(spark, _source(spark, args), args.marts, args.buckets)
     status.show(truncate=False)
     return int(status.filter("status <> 'written'").count() > 0)
 

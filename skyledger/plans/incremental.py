@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +33,7 @@ from skyledger.operators.marts import (
 from skyledger.plans.refresh import STATUS, write_marts, write_partials
 from skyledger.plans.together import once
 from skyledger.schemas import RAW_TABLES
-from skyledger.sources.publications import LEDGERS, OvertakenError, Publication, latest, publish
+from skyledger.sources.publications import LEDGERS, OvertakenError, Publication, followed_by, latest, publish
 from skyledger.sources.tables import conform
 
 LEDGER = "file string, size bigint, modified timestamp"
@@ -99,21 +99,24 @@ def _read_sets(spark: SparkSession, folder: str, sets: tuple[str, ...]) -> DataF
     return reduce(DataFrame.unionByName, [spark.read.parquet(f"{folder}/{place}") for place in sets])
 
 
-def refresh_new_files(spark: SparkSession, tables: str, folder: str) -> DataFrame:
+def refresh_new_files(spark: SparkSession, tables: str, folder: str, buckets: int | None = None) -> DataFrame:
     """``refresh_marts`` of the tables in folder ``tables``, reading only new ticket files.
 
     ``tables`` has tickets.parquet, routes.parquet and airports.parquet, as for
-    ``load_tables``; routes and airports are read in whole. One status row per mart.
+    ``load_tables``; routes and airports are read in whole. One status row per mart;
+    ``buckets`` as for ``refresh_marts``.
     """
     for _ in range(ATTEMPTS):
         try:
-            return _refresh_after(spark, tables, folder, latest(spark, folder))
+            return _refresh_after(spark, tables, folder, latest(spark, folder), buckets)
         except OvertakenError as error:
             overtaken = error
     raise overtaken
 
 
-def _refresh_after(spark: SparkSession, tables: str, folder: str, base: Publication) -> DataFrame:
+def _refresh_after(
+    spark: SparkSession, tables: str, folder: str, base: Publication, buckets: int | None
+) -> DataFrame:
     tickets = f"{tables}/tickets.parquet"
     place = f"{LEDGERS}/{uuid.uuid4().hex}"
     # Written first, so that what is read and what is recorded is one listing.
@@ -143,13 +146,13 @@ def _refresh_after(spark: SparkSession, tables: str, folder: str, base: Publicat
         "revenue_by_route_class": lambda: route_class_of_partials(partials()),
         "monthly_revenue": lambda: monthly_of_partials(partials()),
     }
-    done, status = write_marts(spark, builders, folder)
+    done, status = write_marts(spark, builders, folder, buckets)
     if not done:
         return spark.createDataFrame(status, STATUS)
-    new = Publication(marts={**base.marts, **done}, partials=base.partials, ledger=base.ledger)
+    new = followed_by(base, done, buckets)
     try:
-        new = Publication(marts=new.marts, partials=sets(), ledger=place)
+        new = replace(new, partials=sets(), ledger=place)
     except Exception:  # the tickets could not be read: their marts failed, and have said so
-        pass
+        new = replace(new, partials=base.partials, ledger=base.ledger)
     publish(spark, folder, base, new)
     return spark.createDataFrame(status, STATUS)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skyledger.operators.marts import builders_from_partials, mart_builders, ticket_partials
 from skyledger.plans.materialise import materialise
 from skyledger.plans.together import Failed, once, together
+from skyledger.sources.buckets import BUCKETED_MARTS, write_in_buckets
 from skyledger.sources.marts import Marts, check_unique_routes, mart_path
 from skyledger.sources.publications import PARTIALS, RUNS, publish_marts
 from skyledger.sources.tables import RawTables
@@ -19,18 +20,24 @@ from skyledger.sources.tables import RawTables
 STATUS = "mart string, rows bigint, status string, error string"
 
 
-def write_counted(spark: SparkSession, df: DataFrame, path: str) -> int:
+def write_counted(spark: SparkSession, df: DataFrame, path: str, buckets: int | None = None) -> int:
     """Write ``df`` as Parquet; the rows are counted on their way to the files."""
     counted = Observation()
-    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    observed = df.observe(counted, F.count(F.lit(1)).alias("rows"))
+    if buckets:
+        write_in_buckets(observed, path, buckets)
+    else:
+        observed.write.parquet(path)
     rows = counted.get.get("rows")
     # A plan that turns out empty while it runs may leave without its count.
     return spark.read.schema(df.schema).parquet(path).count() if rows is None else rows
 
 
-def write_mart(spark: SparkSession, name: str, build: Callable[[], DataFrame], path: str) -> int:
+def write_mart(
+    spark: SparkSession, name: str, build: Callable[[], DataFrame], path: str, buckets: int | None = None
+) -> int:
     """Write a mart once and check it; returns its rows. Only routes are read again."""
-    rows = write_counted(spark, build(), path)
+    rows = write_counted(spark, build(), path, buckets if name in BUCKETED_MARTS else None)
     if name == "routes_with_airports":
         check_unique_routes(spark.read.parquet(path))
     return rows
@@ -43,12 +50,12 @@ def _short(error: Exception) -> str:
 
 
 def write_marts(
-    spark: SparkSession, builders: Mapping[str, Callable[[], DataFrame]], folder: str
+    spark: SparkSession, builders: Mapping[str, Callable[[], DataFrame]], folder: str, buckets: int | None = None
 ) -> tuple[dict[str, str], list[tuple]]:
     """Write all marts at once to a new run; those that are good, and a status row for each."""
     run = f"{RUNS}/{uuid.uuid4().hex}"
     jobs = {
-        name: partial(write_mart, spark, name, build, mart_path(f"{folder}/{run}", name))
+        name: partial(write_mart, spark, name, build, mart_path(f"{folder}/{run}", name), buckets)
         for name, build in builders.items()
     }
     status, done = [], {}
@@ -91,6 +98,7 @@ def refresh_marts(
     spark: SparkSession,
     source: RawTables | Mapping[str, Callable[[], DataFrame]],
     folder: str,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Build and write every mart under ``folder``; one status row per mart.
 
@@ -111,7 +119,7 @@ def refresh_marts(
         builders = _derived(spark, source, folder)
     else:
         builders = mart_builders(source)
-    done, status = write_marts(spark, builders, folder)
+    done, status = write_marts(spark, builders, folder, buckets)
     if done:
-        publish_marts(spark, folder, done)
+        publish_marts(spark, folder, done, buckets)
     return spark.createDataFrame(status, STATUS)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.schemas import MART_COLUMNS
+from skyledger.sources.buckets import read_in_buckets
 from skyledger.sources.publications import latest
 from skyledger.sources.tables import normalise_columns
 
@@ -83,12 +84,15 @@ def read_marts(spark: SparkSession, folder: str, check_routes: bool = False) ->
     ``check_routes`` refuses marts of another writer in which a route code stands for
     two routes, whose revenue would be counted twice.
     """
-    runs = latest(spark, folder).marts
+    last = latest(spark, folder)
 
     def read(name: str) -> DataFrame:
-        path = mart_path(f"{folder}/{runs[name]}" if name in runs else folder, name)
+        path = mart_path(f"{folder}/{last.marts[name]}" if name in last.marts else folder, name)
         try:
-            found = spark.read.parquet(path)
+            if name in last.buckets:
+                found = read_in_buckets(spark, path, last.buckets[name])
+            else:
+                found = spark.read.parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import SparkSession
 
 from skyledger.sources import files
+from skyledger.sources.buckets import BUCKETED_MARTS
 
 # Folders of which every run has one of its own, beside the publications.
 RUNS, PARTIALS, LEDGERS = "runs", "partials", "ledgers"
@@ -27,11 +28,13 @@ RUNS, PARTIALS, LEDGERS = "runs", "partials", "ledgers"
 class Publication:
     """The run of each mart; and, of an incremental refresh, its partial sums and ledger.
 
-    The paths are relative to the folder of the marts.
+    The paths are relative to the folder of the marts. ``buckets``: into how many a mart is
+    divided, of those that are.
     """
 
     number: int = 0
     marts: Mapping[str, str] = field(default_factory=dict)
+    buckets: Mapping[str, int] = field(default_factory=dict)
     partials: tuple[str, ...] = ()
     ledger: str | None = None
 
@@ -54,7 +57,7 @@ def _numbers(spark: SparkSession, folder: str) -> list[int]:
 
 def _read(spark: SparkSession, folder: str, number: int) -> Publication:
     found = json.loads(files.read_text(spark, _file(folder, number)))
-    return Publication(number, found["marts"], tuple(found["partials"]), found["ledger"])
+    return Publication(number, found["marts"], found["buckets"], tuple(found["partials"]), found["ledger"])
 
 
 def latest(spark: SparkSession, folder: str) -> Publication:
@@ -67,14 +70,23 @@ def publish(spark: SparkSession, folder: str, after: Publication, new: Publicati
     """Publish ``new`` right after ``after``, or raise that another refresh was first."""
     new = replace(new, number=after.number + 1)
     text = json.dumps(
-        {"marts": dict(new.marts), "partials": list(new.partials), "ledger": new.ledger}, indent=1
+        {"marts": dict(new.marts), "buckets": dict(new.buckets), "partials": list(new.partials), "ledger": new.ledger}, indent=1
     )
     if not files.create_if_absent(spark, _file(folder, new.number), text):
         raise OvertakenError(f"publication {new.number} of {folder} is another refresh's")
     return new
 
 
-def publish_marts(spark: SparkSession, folder: str, marts: Mapping[str, str]) -> Publication:
+def followed_by(last: Publication, marts: Mapping[str, str], buckets: int | None = None) -> Publication:
+    """``last`` with these marts in the place of its own; it has no ledger or partial sums."""
+    divided = {name: n for name, n in last.buckets.items() if name not in marts}
+    divided |= {name: buckets for name in marts if buckets and name in BUCKETED_MARTS}
+    return Publication(marts={**last.marts, **marts}, buckets=divided)
+
+
+def publish_marts(
+    spark: SparkSession, folder: str, marts: Mapping[str, str], buckets: int | None = None
+) -> Publication:
     """Publish these marts over whatever is the last publication, keeping its others.
 
     What they were not built on goes: a ledger and partial sums speak of other marts.
@@ -82,7 +94,7 @@ def publish_marts(spark: SparkSession, folder: str, marts: Mapping[str, str]) ->
     while True:
         last = latest(spark, folder)
         try:
-            return publish(spark, folder, last, Publication(marts={**last.marts, **marts}))
+            return publish(spark, folder, last, followed_by(last, marts, buckets))
         except OvertakenError:
             continue
 

@@ -486,7 +486,7 @@ def test_one_failing_answer_of_a_report_spares_the_others(spark, marts, tmp_path
 def test_publications_are_plain_json(spark, tmp_path):
     publish_marts(spark, str(tmp_path), {"a": "runs/1"})
     found = json.loads((tmp_path / "published" / "0000000001.json").read_text())
-    assert found == {"marts": {"a": "runs/1"}, "partials": [], "ledger": None}
+    assert found == {"marts": {"a": "runs/1"}, "buckets": {}, "partials": [], "ledger": None}
     assert publications.PARTIALS == "partials"
 
 
@@ -495,3 +495,63 @@ def test_source_stats_of_derived_tickets_reads_them_once(spark):
     once_read = sl.source_stats(marts_of_one_reading(raw))
     assert rows(once_read) == rows(sl.source_stats(sl.build_marts(raw)))
     assert "l_orderkey" not in plan_text(once_read)
+
+
+# Marts in buckets.
+
+
+def answers_about_places(marts):
+    return {
+        "top_routes": sl.top_routes(marts, ALL),
+        "continent_revenue": sl.continent_revenue(marts, ALL),
+        "route_efficiency": sl.route_efficiency(marts, ALL),
+        "airport_revenue": sl.airport_revenue(marts, ALL),
+        "kpi_totals": sl.kpi_totals(marts, ALL),
+        "regional_revenue": sl.regional_revenue(marts, ALL),
+    }
+
+
+def test_grouping_and_joining_marts_in_buckets_moves_no_row(spark, tmp_path, marts):
+    folder = str(tmp_path)
+    status = rows(sl.refresh_marts(spark, sl.tables_from_orders(spark, MEDIUM), folder, buckets=4))
+    assert [r[1] for r in status] == [getattr(marts, name).count() for name in MART_COLUMNS]
+    assert latest(spark, folder).buckets == {"routes_with_airports": 4, "revenue_by_route_class": 4}
+    divided = sl.read_marts(spark, folder)
+    same_marts(divided, marts)
+    wanted = {name: rows(answer) for name, answer in answers_about_places(marts).items()}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as beyond the broadcast size
+    try:
+        rollup = mart_rollup(divided)
+        assert "Exchange" not in plan_text(rollup) and "Join" in plan_text(rollup)
+        assert plan_text(mart_rollup(marts)).count("Exchange") >= 2
+        for name, answer in answers_about_places(divided).items():
+            assert rows(answer) == wanted[name], name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def mart_rollup(marts):
+    from skyledger.operators.rollup import route_rollup
+
+    return route_rollup(marts, ALL.classes)
+
+
+def test_buckets_come_and_go_with_their_publication(spark, star, tmp_path):
+    tables, folder = str(tmp_path / "tables"), str(tmp_path / "it's marts")
+    tables_in(star, tables, [("AB", "E", 1), ("BA", "B", 2)])
+    sl.refresh_new_files(spark, tables, folder, buckets=3).collect()
+    assert latest(spark, folder).buckets == {"routes_with_airports": 3, "revenue_by_route_class": 3}
+    assert sl.class_revenue(sl.read_marts(spark, folder), ALL).count() == 2
+    sl.refresh_marts(spark, sl.load_tables(spark, tables), folder).collect()
+    assert latest(spark, folder).buckets == {}
+    assert sl.class_revenue(sl.read_marts(spark, folder), ALL).count() == 2
+
+
+def test_a_mart_that_fails_in_buckets_leaves_no_table(spark, star, tmp_path):
+    raw = star([("AB", "E", 1)], ROUTE_ROWS, AIRPORT_ROWS)
+    before = {t.name for t in spark.catalog.listTables()}
+    broken = raw.tickets.withColumn("class", F.raise_error(F.lit("bad block")).cast("string"))
+    status = rows(sl.refresh_marts(spark, sl.RawTables(broken, raw.routes, raw.airports), str(tmp_path), buckets=2))
+    assert [r[2] for r in status] == ["written", "failed", "failed"]
+    assert {t.name for t in spark.catalog.listTables()} == before
