@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyledger.llm import bpe, decontaminate, language_id, near_dedup, secrets
 from skyledger.llm.queries import multi_language_bpe, table
-from skyledger.llm.store import small_batches, written
+from skyledger.llm.store import cleared, kept, remove, small_batches
 from skyledger.plans import scratch_folder
 
 
@@ -64,8 +64,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over all documents in ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over all documents in ``sf_dir``.
+
+    Tables that a stage writes for itself, and what the stage before has left, are deleted
+    once its own rows are written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with cleared(spark):
+            docs, path = kept(stage(spark, docs, sf_dir), name)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
