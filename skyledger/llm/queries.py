@@ -113,7 +113,12 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_rules.judge(table(spark, folder, "documents"))
+    """A line is common in a host where more than 10 of its different texts and more than
+    2 % of them have it: ten, so that a small host's chance repeats stay; two percent, so
+    that what a large host's authors write again and again is not taken for boilerplate.
+    """
+    limits = quality_rules.LineLimits(documents=10, percent_of_host=2)
+    return quality_rules.judge(table(spark, folder, "documents"), limits=limits)
 
 
 def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:

@@ -222,7 +222,8 @@ def redacted(docs: DataFrame, ledger: Ledger, path: str = "doc_id", text: str =
                 out = out.set_column(names.index("n_chars"), "n_chars", counts)
             yield out
 
-    maybe = side(True)
+    # Written, so that no task runs the Python workers of both steps at once.
+    maybe = written(side(True), "texts-with-secrets")
     spans = found.select(F.col("blob").alias(BLOB), F.col("spans").alias(FOUND))
     joined = maybe.withColumn(BLOB, blob_of(text)).join(spans, BLOB, "left")
     return side(False).unionByName(joined.select(*names, FOUND).mapInArrow(replace, docs.schema))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from skyledger.plans import scratch_folder
@@ -10,10 +13,16 @@ from skyledger.plans import scratch_folder
 ROW_GROUP = 16 << 20
 
 
+#: The tables written inside each open ``cleared``.
+_MADE: list[list[str]] = []
+
+
 def written_at(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
     """``df`` as written to a new folder beside the checkpoints, and that folder."""
     spark = df.sparkSession
     path = scratch_folder(spark, name)
+    if _MADE:
+        _MADE[-1].append(path)
     df.write.option("parquet.block.size", ROW_GROUP).option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -33,6 +42,28 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were written inside, whether it ends well or not.
+
+    For jobs whose result is written inside to a folder of its own (``kept``).
+    """
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            remove(spark, path)
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written_at``, for a table that outlives the ``cleared`` around it."""
+    found, path = written_at(df, name, "snappy")
+    if _MADE:
+        _MADE[-1].remove(path)
+    return found, path
+
+
 def small_batches(spark: SparkSession) -> None:
     """Sends texts to Python workers in batches of 8 MB or 1000 rows.
 

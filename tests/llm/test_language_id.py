@@ -34,21 +34,9 @@ def test_grams_against_brute_force():
         assert key[text == i].tolist() == brute_grams(t)
 
 
-def test_fusion_against_brute_force(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
-    model = li.train(docs)
-    counts = defaultdict(Counter)
-    for r in docs.collect():
-        counts[r.lang].update(brute_grams(r.text))
-    for k, lang in enumerate(model.languages):
-        total = sum(counts[lang].values())
-        for bucket, n in list(counts[lang].items())[:200]:
-            assert model.log_p[bucket, k] == pytest.approx(math.log(0.5 * n / total + 0.5 / li.BUCKETS))
-
-    evidence = li.of_documents(docs).unionByName(li.of_pages(pages))
-    rows, size = evidence.collect(), len(model.names)
-    scored = []
+def brute_fusion(rows, model):
+    """(row, grams, language, posterior) of each row by the definition, in numpy alone."""
+    size, scored, out = len(model.names), [], []
     for r in rows:
         keys = brute_grams(r.text)
         logs = model.log_p[keys].sum(axis=0) / (1 + len(keys) / li.SATURATION)
@@ -62,12 +50,9 @@ def test_fusion_against_brute_force(spark):
             for c in li.EVIDENCE:
                 by[c, r[c]] += p
     shares = (sums + 1) / (sums.sum() + size)
-    found = {(r.doc_id, r.page_id): r for r in li.identify(evidence, model).collect()}
-    assert len(found) == len(rows)
     for r, n, logs, p in scored:
-        got = found[r.doc_id, r.page_id]
-        assert got.n_grams == n and got.accepted == (n > 0 and got.language != li.UND)
         if not n:
+            out.append((r, 0, li.UND, 1.0))
             continue
         left = {c: np.maximum(by[c, r[c]] - p, 0) for c in li.EVIDENCE if r[c] is not None}
         prior = shares
@@ -80,8 +65,32 @@ def test_fusion_against_brute_force(spark):
                 value = (left[c] + li.STRENGTH * shares) / (left[c].sum() + li.STRENGTH)
                 total += np.log(value / ((sums + 1) / (sums.sum() + size)))
         weights = np.exp(total - total.max())
-        assert got.language == model.names[int(total.argmax())]
-        assert got.posterior == pytest.approx(1 / weights.sum(), rel=1e-6)
+        out.append((r, n, model.names[int(total.argmax())], 1 / weights.sum()))
+    return out
+
+
+def test_fusion_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    model = li.train(docs)
+    counts = defaultdict(Counter)
+    for r in docs.collect():
+        counts[r.lang].update(brute_grams(r.text))
+    for k, lang in enumerate(model.languages):
+        total = sum(counts[lang].values())
+        for bucket, n in list(counts[lang].items())[:200]:
+            assert model.log_p[bucket, k] == pytest.approx(math.log(0.5 * n / total + 0.5 / li.BUCKETS))
+
+    evidence = li.of_documents(docs).unionByName(li.of_pages(pages))
+    found = {(r.doc_id, r.page_id): r for r in li.identify(evidence, model).collect()}
+    wanted = brute_fusion(evidence.collect(), model)
+    assert len(found) == len(wanted)
+    for r, n, language, posterior in wanted:
+        got = found[r.doc_id, r.page_id]
+        assert got.n_grams == n and got.accepted == (n > 0 and got.language != li.UND)
+        if n:
+            assert got.language == language
+            assert got.posterior == pytest.approx(posterior, rel=1e-6)
 
 
 def test_held_out_accuracy_and_clean_documents(spark):
