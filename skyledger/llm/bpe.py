@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from skyledger.llm.words import Texts, chunks, mixed, span_hashes
 
 #: Merged pre-tokens a worker keeps (about 180 bytes each); more only cost time.
-KEEP = 600_000
+KEEP = 400_000
 
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 # White space of the pattern, and the endings after an apostrophe.

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are held as numpy arrays at a time; one longer text is taken whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Longest span, in bytes, that is hashed by a polynomial.
 SHORT = 32
 
