@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.operators.marts import builders_from_partials, mart_builders, ticket_partials
-from skyledger.plans.materialise import materialise
+from skyledger.plans.materialise import scratch_folder
 from skyledger.plans.together import Failed, once, together
 from skyledger.sources.buckets import BUCKETED_MARTS, write_in_buckets
 from skyledger.sources.marts import Marts, check_unique_routes, mart_path
@@ -90,8 +90,11 @@ def marts_of_one_reading(tables: RawTables) -> Marts:
 
     For answers that need both revenue marts, of tickets that are costly to make.
     """
-    partials = materialise(ticket_partials(tables.tickets))
-    return Marts(builders_from_partials(tables, lambda: partials))
+    found = ticket_partials(tables.tickets)
+    spark = found.sparkSession
+    path = scratch_folder(spark, "ticket-partials")
+    found.write.parquet(path)  # not a checkpoint, which computes what it keeps twice
+    return Marts(builders_from_partials(tables, lambda: spark.read.schema(found.schema).parquet(path)))
 
 
 def refresh_marts(

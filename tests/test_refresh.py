@@ -69,7 +69,7 @@ def test_derived_tickets_are_read_once_in_a_refresh(spark, tmp_path, monkeypatch
 
 
 def test_refresh_of_derived_tickets_equals_the_marts(spark, tmp_path):
-    raw = sl.tables_from_orders(spark, MEDIUM)
+    raw = sl.tables_from_orders(spark, MEDIUM, derived=True)
     sl.refresh_marts(spark, raw, str(tmp_path)).collect()
     same_marts(sl.read_marts(spark, str(tmp_path)), sl.build_marts(raw))
 
