@@ -82,7 +82,7 @@ def set_hashes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def half_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """2 M half keys of each set that is not empty, one row per set."""
+    """2 M half keys of each set that is not empty, one row per set: M even ones, M odd ones."""
     starts = at[:-1][np.diff(at) > 0]
     out = np.empty((len(starts), 2 * M), np.uint64)
     for k in range(2 * M):
@@ -90,7 +90,7 @@ def half_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
         for p in range(k * R, (k + 1) * R):
             hashed = (h * _FACTORS[p] + _SHIFTS[p]) >> np.uint64(16)
             key = mixed(key ^ np.minimum.reduceat(hashed, starts)) if len(starts) else key
-        out[:, k] = key
+        out[:, k] = key & ~np.uint64(1) | np.uint64(k >= M)
     return out.view(np.int64)
 
 
@@ -117,15 +117,30 @@ def _described(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, class long, n long, halves array<long>")
 
 
+def _by(rows: DataFrame, key: str) -> DataFrame:
+    """``rows``, which have no nulls, shuffled by ``key``.
+
+    Sums of each key and a join of the rows with these sums share this one exchange, if
+    it is the same for both: all columns are used on both sides, the join is an inner one, and the
+    filters that Spark would infer for one side alone are there for both.
+    """
+    return rows.filter(" and ".join(f"{c} is not null" for c in rows.columns)).repartition(key)
+
+
+def _of_several(rows: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` (``key``, class) of each key that several classes have."""
+    rows = _by(rows, key)
+    several = rows.groupBy(key).agg(F.min("class").alias("_a"), F.max("class").alias("_b")).filter("_a < _b")
+    return rows.join(several.select(key), key)
+
+
 def _table_rows(classes: DataFrame) -> DataFrame:
     """(key, class): each class in each of its tables that can hold another class."""
-    halves = written(
-        classes.select("class", F.posexplode("halves").alias("pos", "half")), "half-keys"
-    )
-    shared = halves.groupBy("half").agg(F.count("*").alias("_c")).filter("_c > 1").select("half")
-    mine = halves.join(shared, "half").groupBy("class").agg(
-        F.collect_list(F.when(F.col("pos") < M, F.col("half"))).alias("a"),
-        F.collect_list(F.when(F.col("pos") >= M, F.col("half"))).alias("b"),
+    halves = classes.select("class", F.explode("halves").alias("half"))
+    odd = F.col("half").bitwiseAND(1) == 1
+    mine = _of_several(halves, "half").groupBy("class").agg(
+        F.collect_list(F.when(~odd, F.col("half"))).alias("a"),
+        F.collect_list(F.when(odd, F.col("half"))).alias("b"),
     )
     return (
         mine.select("class", F.explode("a").alias("a"), "b")
@@ -222,6 +237,8 @@ def _proven(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good[i] = 100 * shared >= SIMILAR_PERCENT * (len(both) - shared)
             yield batch.select(["u", "v"]).filter(pa.array(good))
 
+    ends = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct()
+    sets = sets.join(ends, "class", "left_semi")
     one = pairs.join(sets.select(F.col("class").alias("u"), F.col("items").alias("a")), "u")
     two = one.join(sets.select(F.col("class").alias("v"), F.col("items").alias("b")), "v")
     return written(two.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "proven-links")
@@ -230,6 +247,7 @@ def _proven(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _pairs_to_least(tables: DataFrame) -> DataFrame:
     """(u, v): the classes of each table with the one that has least of its own."""
     own = ((F.col("n") - F.col("most")) / F.col("n")).alias("own")
+    tables = _by(tables, "key")
     least = (
         tables.groupBy("key")
         .agg(F.min(F.struct(own, "class", "n", "most")).alias("x"), F.count("*").alias("_c"))
@@ -250,14 +268,14 @@ def _pairs_across(
     component = F.coalesce("component", "class").alias("component")
     sizes = written(sizes.join(known, "class", "left").select("class", component, "n", "most", "b"), "component-sizes")
     rows = tables.select("key", "class").join(sizes.select("class", "component"), "class")
-    rows = written(rows, "table-components")
+    rows = _by(written(rows, "table-components"), "key")
     mixed_keys = (
         rows.groupBy("key")
-        .agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
-        .filter("_a < _b")
+        .agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.max("class").alias("_c"))
+        .filter("_a < _b and _a <= _c")  # always _a <= _c: it keeps class in the exchange of both sides
         .select("key")
     )
-    rows = rows.join(mixed_keys, "key", "left_semi").join(sizes.drop("component"), "class")
+    rows = rows.join(mixed_keys, "key").join(sizes.drop("component"), "class")
     rows = written(rows, "mixed-tables")
     # What the members of a component can share at most, each part by itself.
     many = F.lit(MANY).cast("smallint")
@@ -289,9 +307,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("least_id"), F.first("halves").alias("halves")
     )
     classes = written(classes, "classes")
-    tables = _table_rows(classes)
-    shared = tables.groupBy("key").agg(F.count("*").alias("_c")).filter("_c > 1").select("key")
-    tables = written(tables.join(shared, "key", "left_semi"), "tables")
+    tables = written(_of_several(_table_rows(classes), "key"), "tables")
     sets = _sets(docs, tables.select("class").distinct())
     sizes = _shared_sizes(sets)
     tables = tables.select("key", "class").join(sizes.select("class", "n", "most"), "class")
