@@ -7,6 +7,8 @@ whole 64-bit hash and the length are compared. The second tier merges the bytes
 pre-token that is no token itself: linked bytes, and a heap of neighbouring pairs by
 rank and place. Results of the second tier are kept for the next texts of a worker by
 their bytes, up to ``KEEP`` of them: of two halves the older one goes when the newer is full.
+Where only the ids matter, as in packing, those of up to ``LONGEST`` bytes are merged together
+instead, a merge of each in a round over arrays, with the same ids.
 
 Null and empty texts have no ids; other columns are kept as they are; equal rows get
 equal ids; an empty table gives an empty result. Ids of one text are one row.
@@ -30,6 +32,8 @@ from skyledger.llm.words import Texts, chunks, mixed, span_hashes
 
 #: Merged pre-tokens a worker keeps (about 180 bytes each); more only cost time.
 KEEP = 400_000
+#: Longest pre-token, in bytes, that is merged together with others.
+LONGEST = 32
 
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 # White space of the pattern, and the endings after an apostrophe.
@@ -197,6 +201,109 @@ class Merges:
         return ids
 
 
+class Pairs:
+    """The rank of each two tokens that make a third, in a table with open addressing."""
+
+    NONE = np.int32(np.iinfo(np.int32).max)
+    _EMPTY = np.uint64(np.iinfo(np.uint64).max)
+
+    def __init__(self, ranks: Mapping[bytes, int]) -> None:
+        self.width = np.uint64(max(ranks.values()) + 1)
+        keys, values = [], []
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    keys.append(a * int(self.width) + b)
+                    values.append(rank)
+        keys, values = np.array(keys, np.uint64), np.array(values, np.int32)
+        bits = max(8, (4 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, self._EMPTY)
+        self.values = np.full(1 << bits, self.NONE)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] == self._EMPTY
+            self.keys[slot[free]] = keys[free]  # of several for one slot, one is put there
+            there = self.keys[slot] == keys
+            self.values[slot[there]] = values[there]
+            keys, values, slot = keys[~there], values[~there], (slot[~there] + 1) & self.last
+        self.byte = np.array([ranks.get(bytes([x]), -1) for x in range(256)], np.int32)
+        self.two = np.array(
+            [ranks.get(bytes([x, y]), self.NONE) for x in range(256) for y in range(256)], np.int32
+        )
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each token of ``a`` joined with that of ``b``; NONE if that is no token."""
+        keys = a.astype(np.uint64) * self.width + b.astype(np.uint64)
+        slot = self._slots(keys)
+        there = self.keys[slot]
+        same = there == keys
+        out = np.where(same, self.values[slot], self.NONE)
+        left = np.flatnonzero(~same & (there != self._EMPTY))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.last
+            there = self.keys[slot[left]]
+            same = there == keys[left]
+            out[left[same]] = self.values[slot[left[same]]]
+            left = left[~same & (there != self._EMPTY)]
+        return out
+
+    def merged(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pieces one after another, and how many each has: as ``Merges.merged``.
+
+        Rounds from the longest to one part: those with so many parts are rows of one array, of which each
+        loses one by its merge of lowest rank, the leftmost of equals, or is done.
+        """
+        size, count = ends - starts, np.zeros(len(starts), np.int64)
+        longest = int(size.max(initial=0))
+        order = np.argsort(size, kind="stable")
+        at = np.searchsorted(size[order], np.arange(longest + 2))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        own, ids = np.zeros(0, np.int64), np.zeros((0, longest), np.int32)
+        ranks = np.zeros((0, max(0, longest - 1)), np.int32)
+        for k in range(longest, 0, -1):
+            new = order[at[k] : at[k + 1]]
+            if len(new):
+                raw = b[starts[new][:, None] + np.arange(k)]
+                own, ids = np.concatenate([own, new]), np.concatenate([ids, self.byte[raw]])
+                ranks = np.concatenate([ranks, self.two[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]]])
+            if k == 1:
+                done.append((own, ids))
+                break
+            row = np.arange(len(own))
+            j = ranks.argmin(axis=1)
+            least = ranks[row, j]
+            ended = least == self.NONE
+            if ended.any():
+                done.append((own[ended], ids[ended]))
+                own, ids, ranks, j, least = (x[~ended] for x in (own, ids, ranks, j, least))
+                row = row[: len(own)]
+            ids[row, j] = least
+            left = np.ones(ids.shape, bool)
+            left[row, j + 1] = False
+            ids = ids[left].reshape(len(own), k - 1)
+            left = np.ones(ranks.shape, bool)
+            left[row, j] = False
+            ranks = ranks[left].reshape(len(own), k - 2)
+            for rows, i in ((row[j > 0], j[j > 0] - 1), (row[j < k - 2], j[j < k - 2])):
+                ranks[rows, i] = self.ranks(ids[rows, i], ids[rows, i + 1])
+        for own, ids in done:
+            count[own] = ids.shape[1]
+        to = np.cumsum(count) - count
+        flat = np.empty(int(count.sum()), np.int32)
+        for own, ids in done:
+            flat[to[own][:, None] + np.arange(ids.shape[1])] = ids
+        if (flat < 0).any():
+            raise KeyError("a byte that is no token")
+        return flat, count
+
+
+#: Pairs by vocabulary, for all tasks of one worker.
+_PAIRS: dict[int, Pairs] = {}
 #: Merged pre-tokens by vocabulary, newer and older ones, for all tasks of one worker.
 _KNOWN: dict[int, list[dict[bytes, bytes]]] = {}
 
@@ -232,8 +339,11 @@ class Vocabulary:
         same = (self.hashes[row] == hashes) & (self.lengths[row] == lengths)
         return np.where(same, self.ids[row], -1)
 
-    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and where those of each begin."""
+    def encode(self, texts: Texts, together: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where those of each begin.
+
+        ``together``: short pre-tokens that are no tokens are merged all at once, not each by a heap.
+        """
         starts, ends, at = pre_tokens(texts, self.classes)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts.at), np.int64)
@@ -241,9 +351,8 @@ class Vocabulary:
         found = self.whole(hashes, ends - starts)
         missed = np.flatnonzero(found < 0)
         _, example, which = np.unique(hashes[missed], return_index=True, return_inverse=True)
-        pieces = self._merged_all(texts, starts[missed[example]], ends[missed[example]])
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        flat = np.frombuffer(b"".join(pieces), np.int32)
+        merged = self._merged_together if together else self._merged_all
+        flat, sizes = merged(texts, starts[missed[example]], ends[missed[example]])
         count = np.ones(len(starts), np.int64)
         count[missed] = sizes[which]
         to = np.concatenate([[0], np.cumsum(count)])
@@ -256,8 +365,23 @@ class Vocabulary:
             ids[np.repeat(to[missed], many) + step] = flat[np.repeat(begin, many) + step]
         return ids, to[at]
 
-    def _merged_all(self, texts, starts, ends) -> list[bytes]:
-        """The ids of pre-tokens; those met before are found by their bytes."""
+    def _merged_together(self, texts, starts, ends) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens, one after another, and how many each has; long ones by a heap."""
+        if self.name not in _PAIRS:
+            _PAIRS[self.name] = Pairs(self.ranks)
+        long = ends - starts > LONGEST
+        if not long.any():
+            return _PAIRS[self.name].merged(texts.bytes, starts, ends)
+        sizes = np.empty(len(starts), np.int64)
+        some, sizes[~long] = _PAIRS[self.name].merged(texts.bytes, starts[~long], ends[~long])
+        others, sizes[long] = self._merged_all(texts, starts[long], ends[long])
+        flat = np.empty(len(some) + len(others), np.int32)
+        of_long = np.repeat(long, sizes)
+        flat[~of_long], flat[of_long] = some, others
+        return flat, sizes
+
+    def _merged_all(self, texts, starts, ends) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens, one after another, and how many each has; those met before are found by their bytes."""
         generations = _KNOWN.setdefault(self.name, [{}, {}])
         new, old = generations
         if len(new) > KEEP // 2:
@@ -273,7 +397,8 @@ class Vocabulary:
                     ids = array("i", merged(piece)).tobytes()
                 new[piece] = ids
             out.append(ids)
-        return out
+        sizes = np.fromiter(map(len, out), np.int64, len(out)) // 4
+        return np.frombuffer(b"".join(out), np.int32), sizes
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> Texts:
         """The bytes of each text's ids."""

@@ -154,7 +154,7 @@ def pack(
         pieces: list[Piece] = []
         held = 0
         for part, texts in chunks(batches):
-            values, at = vocabulary.encode(texts)
+            values, at = vocabulary.encode(texts, together=True)
             values = np.insert(values, at[1:], end_id).astype(dtype)
             ends = (at[1:] + np.arange(1, len(at))).tolist()
             begin = 0

@@ -98,6 +98,42 @@ def test_long_pieces(library):
         assert ids == library.encode_ordinary(text)
 
 
+def test_short_pieces_are_merged_together(library, monkeypatch):
+    import pyarrow as pa
+
+    draw = random.Random(11)
+    words = ["".join(draw.choices("qxzjkaeioé日1!'", k=draw.randrange(1, 11))) for _ in range(3000)]
+    texts = [" ".join(draw.choices(words, k=draw.randrange(30))) for _ in range(200)]
+    long = "x" * 40 + " " + "jqxz" * 20 + " qxzj"
+
+    def together(texts: list[str]) -> list[list[int]]:
+        ids, at = bpe.load(PATH).encode(texts_of(pa.array(texts)), together=True)
+        return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    mixed = [*texts, long, "", texts[0] + " " + long + " " + texts[1]]
+    assert together(mixed) == [library.encode_ordinary(t) for t in mixed]
+    monkeypatch.setattr(bpe.Merges, "merged", lambda *_: pytest.fail("a heap for a short piece"))
+    assert together(texts) == [library.encode_ordinary(t) for t in texts]
+
+
+def test_pairs_of_any_ranks_against_the_heap():
+    """Ranks in random order, so that a token can come before those it is made of."""
+    draw = random.Random(2)
+    tokens = [bytes([x]) for x in range(256)]
+    tokens += sorted({bytes(draw.choices(b"abc", k=draw.randrange(2, 6))) for _ in range(150)})
+    ids = list(range(len(tokens)))
+    draw.shuffle(ids)
+    ranks = dict(zip(tokens, ids, strict=True))
+    pieces = [bytes(draw.choices(b"abcd", k=draw.randrange(1, 33))) for _ in range(2000)]
+    ends = np.cumsum([len(p) for p in pieces])
+    flat, sizes = bpe.Pairs(ranks).merged(
+        np.frombuffer(b"".join(pieces), np.uint8), ends - [len(p) for p in pieces], ends
+    )
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    heap = bpe.Merges(ranks)
+    assert [x.tolist() for x in own] == [heap.merged(p) for p in pieces]
+
+
 def test_perfect_hash_is_minimal():
     keys = np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64)
     slots = bpe.PerfectHash(keys).slots(keys)
