@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 
 #: The map is sent to all tasks (1 MB). A hash in it may be another's: a join follows.
 MAP_BITS = 1 << 23
+#: A name that no table of documents has.
+HASH = "__hash"
 
 
 def bit_map(hashes: DataFrame) -> np.ndarray:
@@ -31,3 +36,15 @@ def in_map(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether the map has the bit of each of the signed 64-bit ``hashes``."""
     place = hashes.view(np.uint64) % np.uint64(MAP_BITS)
     return ((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def of_map(rows: DataFrame, h: Column, bits: np.ndarray, there: bool) -> DataFrame:
+    """The ``rows`` whose hash ``h`` (long, not null) is in the map, or those whose is not."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = in_map(batch.column(HASH).to_numpy(zero_copy_only=False), bits) == there
+            yield batch.select(names).filter(pa.array(fits))
+
+    return rows.withColumn(HASH, h).mapInArrow(run, rows.schema)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.bitmap import bit_map, in_map
+from skyledger.llm.bitmap import bit_map, in_map, of_map
 from skyledger.llm.components import components
 from skyledger.llm.store import written
 from skyledger.llm.words import Texts, chunks, mixed, shingles
@@ -365,8 +365,11 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
         named = other.toDF("_lost_id", "_lost_key", *other.columns[2:])
         return named, own_id.eqNullSafe(F.col("_lost_id")) & (own_key == F.col("_lost_key"))
 
-    kept = docs.join(*among(losers), "left_anti")
-    if again.isEmpty():
-        return kept
-    repeated = kept.join(*among(again), "left_semi").dropDuplicates([id_column, text])
-    return kept.join(*among(again), "left_anti").unionByName(repeated)
+    # Only rows that a bit map does not tell from these meet them in a join.
+    these = losers.union(again.select("doc_id", "key"))
+    bits = bit_map(these.select(F.xxhash64("doc_id", "key").alias("h")))
+    maybe = of_map(docs, F.xxhash64(own_id, own_key), bits, True).join(*among(losers), "left_anti")
+    if not again.isEmpty():
+        repeated = maybe.join(*among(again), "left_semi").dropDuplicates([id_column, text])
+        maybe = maybe.join(*among(again), "left_anti").unionByName(repeated)
+    return of_map(docs, F.xxhash64(own_id, own_key), bits, False).unionByName(maybe)

@@ -126,3 +126,31 @@ def test_null_ids_are_kept_once_by_their_text(spark):
     assert sorted(map(str, kept)) == sorted(
         map(str, spark.createDataFrame([(7, words + " y"), (None, None), (None, None), (9, "a b c"), (9, "d e f")], df.schema).collect())
     )
+
+
+def shuffled_rows(df) -> int:
+    """What the exchanges in the plan of ``df``, which has run without adaptive execution, have written."""
+
+    def of(node) -> int:
+        own = node.metrics().apply("shuffleRecordsWritten").value() if node.nodeName() == "Exchange" else 0
+        children = node.children()
+        return own + sum(of(children.apply(k)) for k in range(children.size()))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    """However many rows go, which a broadcast join hides while they are few."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(200)]
+    rows = [(i, text) for i, text in enumerate(texts)] + [(300, texts[5]), (301, texts[6]), (7, texts[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        kept = near_dedup.one_of_each(df)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(200))
+        assert shuffled_rows(kept) < 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
